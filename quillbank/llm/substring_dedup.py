@@ -95,22 +95,28 @@ def _scan(width: int, buckets: int):
     return run
 
 
+_MARK = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(owners: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys.view(np.int64))], schema=_MARK)
+
     def solved(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         low = np.concatenate([_text.unpacked_bytes(k, _KEPT_BYTES) for k, _, _ in parts])
         owners = np.concatenate([np.repeat(np.frombuffer(o, "<i8"), np.frombuffer(c, "<u4")) for _, o, c in parts])
         keys = low | (np.uint64(bucket) << np.uint64(8 * _KEPT_BYTES))
         least, _ = _grouped(keys, owners)
-        later = owners > least
-        rows = [(bucket, doc, packed, None, None) for doc, packed in _by_owner(owners[later], keys[later])]
-        if rows:
-            yield _batch(rows)
+        later = np.flatnonzero(owners > least)
+        for at in range(0, len(later), 1 << 16):
+            yield marks(owners[later[at : at + (1 << 16)]], keys[later[at : at + (1 << 16)]])
 
     bucket, parts = None, []
     for batch in batches:
         known = batch.filter(pc.is_valid(batch.column("doc_id")))
         if known.num_rows:
-            yield known
+            keys = [np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist()]
+            yield marks(np.repeat(known.column("doc_id").to_numpy(), [len(x) for x in keys]), np.concatenate(keys))
         batch = batch.filter(pc.is_null(batch.column("doc_id")))
         for b, k, o, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "owners", "counts")), strict=True):
             if b != bucket and parts:
@@ -123,15 +129,14 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
-    """(doc_id, keys): for each document the packed keys of its windows that also start in one with a smaller doc_id.
+    """(doc_id, key): the key of each window of a document that also starts in one with a smaller doc_id.
 
     Also the number of hash ranges, which a later scan needs in order to form the same keys.
     """
     n = partitions(docs.sparkSession)
     buckets = min(4 * n, 1 << 20)
     found = docs.select("doc_id", "text").mapInArrow(_scan(width, buckets), _SHAPE)
-    marks = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, _SHAPE)
-    return marks.select("doc_id", "keys"), buckets
+    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "doc_id long, key long"), buckets
 
 
 def covered(length: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -148,14 +153,15 @@ def _cut(width: int, buckets: int, with_text: bool):
             for batch in _text.sub_batches(whole, "text", _TEXT_LIMIT):
                 data, bounds = _text.raw(batch.column("text"))
                 starts, ends, first = _text.spans(data, bounds)
-                flags = batch.column("keys").to_pylist()
+                flags = batch.column("keys")
+                mark, known_keys = flags.offsets.to_numpy(), flags.values.to_numpy().view(np.uint64)
                 keep = np.ones(len(starts), bool)
-                marked = [i for i, packs in enumerate(flags) if packs and first[i + 1] - first[i] >= width]
+                marked = np.flatnonzero((np.diff(mark) > 0) & (np.diff(first) >= width)).tolist()
                 words = _text.word_hashes(data, starts, ends) if marked else None
                 for i in marked:
                     lo, hi = int(first[i]), int(first[i + 1])
                     keys = _keys(_text.window_hashes(words[lo:hi], width), buckets)
-                    known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in flags[i]]))
+                    known = np.sort(known_keys[mark[i] : mark[i + 1]])
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     keep[lo:hi] = ~covered(hi - lo, np.flatnonzero(known[at] == keys), width)
                 at = np.flatnonzero(keep)
@@ -181,7 +187,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     so copies under the same id do not remove each other. Columns other than doc_id and text are left out.
     """
     marks, buckets = repeated_windows(docs, width)
-    marks = marks.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     joined = docs.select("doc_id", "text").join(marks, "doc_id", "left")
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_cut(width, buckets, with_text), shape)
