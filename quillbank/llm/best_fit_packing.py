@@ -154,7 +154,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             pairs, odd = divmod(many, 2)
             if pairs:
                 put(top, pairs, opened, 1, 0)
-                put(top, pairs, opened + pairs, 1, 0) if False else put(top, pairs, opened, 1, top)
+                put(top, pairs, opened, 1, top)
                 keep(capacity - 2 * top, opened, pairs)
                 opened += pairs
             if odd:
@@ -163,8 +163,6 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                 put(top, 1, opened, 1, 0)
                 if partner:
                     put(partner, 1, opened, 1, top)
-                    if partner not in left:
-                        large.remove(partner)
                 keep(capacity - top - partner, opened, 1)
                 opened += 1
         else:
@@ -174,7 +172,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                 put(other, many, opened, 1, top)
             keep(capacity - top - other, opened, many)
             opened += many
-        large = [n for n in large[-2:] if n in left] if len(large) <= 2 else [n for n in large if n in left]
+        large = [n for n in large if n in left]
 
     for length in sorted(left, reverse=True):
         while length in left:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from quillbank.llm.best_fit_packing import op10_best_fit_packing
 from quillbank.llm.ngram_jaccard import op3_ngram_jaccard
+from quillbank.llm.source_mixing import op7_source_mixing
 from quillbank.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_source_mixing": op7_source_mixing,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -21,6 +21,7 @@ MOST = 3
 BLOCK = 64
 SHARD_WORDS = 1 << 20
 SEED = 17
+SMALL_TABLE = 100_000  # rows (of a few numbers and a name) that are broadcast; more are joined by shuffle
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,17 +78,18 @@ def _units(taken_blocks: Column, blocks: Column, phase: Column, at: Column) -> C
     return F.floor((at * taken_blocks + phase) / blocks)
 
 
-def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken, full, begin, blocks, chosen, phase) for each row of `docs`.
 
     taken is the number of words that the mix takes of the row, repeats counted: `full` times all of it, and the words
     whose place (begin, begin + 1, ... in its shard) lies in a chosen block. It is at most most * size. Null texts have
     size 0. A null source is the last source. Rows that repeat a doc_id count each. Columns other than doc_id, source
-    and text are left out. Sources, of which there is one row each, are apportioned on the driver; so are shards, of
+    and text are left out but for those in `carry`. Sources, of which there is one row each, are apportioned on the driver; so are shards, of
     which there is one for `SHARD_WORDS` words.
     """
     spark = docs.sparkSession
-    sized = materialised(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size")))
+    extra = [F.col(x) for x in carry]
+    sized = materialised(docs.select(*extra, F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size")))
     sums = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     names = sorted((x for x in sums if x is not None), key=lambda x: [ord(c) for c in x]) + [None] * (None in sums)
     wanted = targets([sums[x] for x in names], weights, most)
@@ -96,7 +98,8 @@ def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         [(x, sums[x], t, q, max(1, -(-sums[x] // SHARD_WORDS))) for x, t, q in zip(names, wanted, quotas, strict=True)],
         "source string, source_size long, target double, quota long, shards long",
     )
-    sized = sized.join(F.broadcast(about), sized["source"].eqNullSafe(about["source"])).drop(about["source"])
+    few = F.broadcast if len(names) <= SMALL_TABLE else lambda df: df
+    sized = sized.join(few(about), sized["source"].eqNullSafe(about["source"])).drop(about["source"])
     sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("shards")).cast("int"))
 
     shard_sizes = sized.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words")).collect()
@@ -108,14 +111,16 @@ def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
             full, rest = divmod(take, r["words"]) if r["words"] else (0, 0)
             blocks = -(-r["words"] // block)
             plan.append((name, r["shard"], full, blocks, min(blocks, round(rest / block))))
+    n_plan = len(plan)
     plan = spark.createDataFrame(plan, "s string, h int, full long, blocks long, chosen long")
-    placed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["s"]) & (sized["shard"] == plan["h"])).drop("s", "h")
+    few = F.broadcast if n_plan <= SMALL_TABLE else lambda df: df
+    placed = sized.join(few(plan), sized["source"].eqNullSafe(plan["s"]) & (sized["shard"] == plan["h"])).drop("s", "h")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
     placed = placed.withColumn("begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("phase", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("blocks", F.lit(1))))
     taken = F.when(F.col("chosen") > 0, _words_before(F.col("begin") + F.col("size"), block) - _words_before(F.col("begin"), block)).otherwise(0)
     placed = placed.withColumn("taken", (F.col("full") * F.col("size") + taken).cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "full", "begin", "blocks", "chosen", "phase")
+    return placed.select(*carry, "doc_id", "source", "size", "source_size", "target", "taken", "full", "begin", "blocks", "chosen", "phase")
 
 
 def _words_before(at: Column, block: int) -> Column:
@@ -134,13 +139,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """
     names = docs.columns
     keyed = materialised(docs.withColumn("__row", F.monotonically_increasing_id()))
-    sizes = mixed_sizes(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), weights, most, block, seed)
-    joined = keyed.join(sizes.select(F.col("doc_id").alias("__row"), "size", "taken", "full", "begin", "blocks", "chosen", "phase"), "__row")
+    sizes = mixed_sizes(keyed.select("__row", "doc_id", "source", "text"), weights, most, block, seed, ("__row",))
+    joined = keyed.join(sizes.select("__row", "size", "taken", "full", "begin", "blocks", "chosen", "phase"), "__row")
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    in_block = _units(F.col("chosen"), F.col("blocks"), F.col("phase"), F.floor((F.col("begin") + F.col("__i")) / block) + 1) > _units(
-        F.col("chosen"), F.col("blocks"), F.col("phase"), F.floor((F.col("begin") + F.col("__i")) / block)
-    )
-    del in_block  # written out below, where the place is a lambda's argument
 
     def chosen(_: Column, i: Column) -> Column:
         number = F.floor((F.col("begin") + i) / block)
