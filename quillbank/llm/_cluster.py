@@ -25,6 +25,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_TABLE = 100_000
+_EDGES_A_TASK = 100_000
+
+
+def attached(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """df inner join small (materialised, one short row for each key): by broadcast if it has at most SMALL_TABLE rows."""
+    return df.join(F.broadcast(small) if small.count() <= SMALL_TABLE else small, key)
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -34,19 +43,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each vertex of the undirected edges (a, b): root is the smallest id of its connected component.
 
     Large-star and small-star rounds: each shuffles the edges only, pre-aggregates the minimum of a vertex before
-    the shuffle and ends with a star around every root. Null ends are ignored.
+    the shuffle and ends with a star around every root. Null ends are ignored. The number of tasks follows the
+    number of edges.
     """
+    n = partitions(edges.sparkSession)
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _digest(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        tasks = min(n, 1 + before[0] // _EDGES_A_TASK)
+        edges = edges.coalesce(tasks)
+        both = edges.select("a", "b", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialised(small.union(low).distinct())
+        edges = materialised(small.union(low).coalesce(tasks).distinct().coalesce(tasks))
         after = _digest(edges)
         if after == before:
             break
