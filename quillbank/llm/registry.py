@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from quillbank.llm.best_fit_packing import op10_best_fit_packing
+from quillbank.llm.exact_topk import op6_exact_topk
+from quillbank.llm.media_columns import op1_media_columns
 from quillbank.llm.ngram_jaccard import op3_ngram_jaccard
+from quillbank.llm.perspective_chat import OP2_SQL, op2_perspective_chat
+from quillbank.llm.quality_classifier import op4_quality_classifier
 from quillbank.llm.source_mixing import op7_source_mixing
 from quillbank.llm.substring_dedup import op5_substring_dedup
+from quillbank.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op2_perspective_chat": op2_perspective_chat,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_exact_topk": op6_exact_topk,
     "op7_source_mixing": op7_source_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_perspective_chat": OP2_SQL}
