@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillbank.llm import _text
 
@@ -31,6 +32,7 @@ EPOCHS = 8
 SEED = 5
 THRESHOLD = 0.3
 _TEXT_LIMIT = 2 << 20
+_NEW = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
 
 @dataclass
@@ -215,15 +217,18 @@ def _score(net: Network, threshold: float):
     return run
 
 
-def score_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted) of `docs`, after the text itself if asked for.
+def score_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD, with_columns: bool = False) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted) of `docs`, or all its columns and these, if asked for.
+
+    Columns of `docs` that are called held_out, score or predicted give way to the new ones.
 
     Empty and null texts get the score of an empty text. held_out is null where doc_id is. Rows that repeat come back
     each. Only the bytes of the text are input.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    out = rows.mapInArrow(_score(net, threshold), "doc_id long, text string, held_out boolean, score double, predicted int")
-    return out if with_text else out.drop("text")
+    rows = docs.drop("held_out", "score", "predicted") if with_columns else docs.select("doc_id", "text")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    out = rows.mapInArrow(_score(net, threshold), T.StructType([*rows.schema.fields, *_NEW]))
+    return out if with_columns else out.drop("text")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

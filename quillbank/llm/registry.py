@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillbank.llm.best_fit_packing import op10_best_fit_packing
 from quillbank.llm.exact_topk import op6_exact_topk
 from quillbank.llm.media_columns import op1_media_columns
@@ -11,6 +12,7 @@ from quillbank.llm.quality_classifier import op4_quality_classifier
 from quillbank.llm.source_mixing import op7_source_mixing
 from quillbank.llm.substring_dedup import op5_substring_dedup
 from quillbank.llm.token_counts import op9_token_counts
+from quillbank.llm.wrapper_induction import op8_wrapper_induction
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
@@ -20,8 +22,10 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op7_source_mixing": op7_source_mixing,
+    "op8_wrapper_induction": op8_wrapper_induction,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op2_perspective_chat": OP2_SQL}
+ORACLE_SQL = {**({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}), "op2_perspective_chat": OP2_SQL}

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillbank.llm import _text
 from quillbank.llm._cluster import partitions
@@ -25,6 +26,7 @@ from quillbank.llm._cluster import partitions
 WIDTH = 13
 _KEPT_BYTES = 7
 _TEXT_LIMIT = 12 << 20
+_NEW = [T.StructField(x, k) for x, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))]
 
 
 def _keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def _cut(width: int, buckets: int, with_text: bool):
                 kept, cuts = _text.joined(data, starts[at], ends[at], left)
                 texts = [kept[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
                 total = np.diff(first)
-                names = [f.name for f in batch.schema if f.name not in ("keys", "text")]
+                names = [f.name for f in batch.schema if f.name != "keys" and (with_text or f.name != "text")]
                 arrays = [batch.column(x) for x in names] + [pa.array(total, pa.int64()), pa.array(total - np.diff(left), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
                 if with_text:
                     arrays.append(pa.array([x.decode() for x in texts], pa.string()))
@@ -178,22 +180,25 @@ def _cut(width: int, buckets: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
-    """Rows of `docs` (doc_id, text) with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row of `docs` (doc_id, text).
+
+    If asked for, all columns of `docs` come too, and kept_text; columns with the names of new ones give way to them.
 
     Each word covered by a window that also starts in a document with a smaller doc_id goes. Windows are judged on the
     input. The kept words are joined by one space. Null texts count as empty (no words, the digest of no bytes). A row
     whose doc_id is null neither removes nor loses words. Rows that repeat a doc_id are one document as to "smaller",
-    so copies under the same id do not remove each other. Columns other than doc_id and text are left out.
+    so copies under the same id do not remove each other.
     """
     marks, buckets = repeated_windows(docs, width)
     marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    joined = docs.select("doc_id", "text").join(marks, "doc_id", "left")
-    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_cut(width, buckets, with_text), shape)
+    rows = docs.drop(*(f.name for f in _NEW), "keys") if with_columns else docs.select("doc_id", "text")
+    joined = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
+    fields = [f for f in joined.schema.fields if f.name != "keys" and (with_columns or f.name != "text")]
+    return joined.mapInArrow(_cut(width, buckets, with_columns), T.StructType([*fields, *_NEW[: 3 + with_columns]]))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_words, n_removed and the digest of what is kept, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return substring_dedup(docs, with_text=False)
+    return substring_dedup(docs)
