@@ -144,7 +144,7 @@ def _search(k: int):
                 if row["bucket"] != bucket:
                     bucket, tables = row["bucket"], []
                 width = row["width"]
-                ids, rows = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.float64).reshape(-1, width)
+                ids, rows = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.float64).reshape(len(row["ids"]) // 8, width)
                 if row["kind"] == 0:
                     order = np.argsort(-(rows**2).sum(1), kind="stable")
                     tables.append((width, ids[order], rows[order]))

@@ -140,17 +140,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     names = docs.columns
     keyed = materialised(docs.withColumn("__row", F.monotonically_increasing_id()))
     sizes = mixed_sizes(keyed.select("__row", "doc_id", "source", "text"), weights, most, block, seed, ("__row",))
-    joined = keyed.join(sizes.select("__row", "size", "taken", "full", "begin", "blocks", "chosen", "phase"), "__row")
+    inner = ("size", "taken", "full", "begin", "blocks", "chosen", "phase")
+    joined = keyed.join(sizes.select("__row", *(F.col(x).alias(f"__{x}") for x in inner)), "__row")
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
 
     def chosen(_: Column, i: Column) -> Column:
-        number = F.floor((F.col("begin") + i) / block)
-        args = F.col("chosen"), F.col("blocks"), F.col("phase")
+        number = F.floor((F.col("__begin") + i) / block)
+        args = F.col("__chosen"), F.col("__blocks"), F.col("__phase")
         return _units(*args, number + 1) > _units(*args, number)
 
-    part = F.when(F.col("taken") > F.col("full") * F.col("size"), F.array_join(F.filter(words, chosen), " "))
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("full").cast("int")), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = joined.where("taken > 0").withColumn("text", F.explode(texts))
+    part = F.when(F.col("__taken") > F.col("__full") * F.col("__size"), F.array_join(F.filter(words, chosen), " "))
+    rest = F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>"))
+    out = joined.where("__taken > 0").withColumn("text", F.explode(F.concat(F.array_repeat(F.col("text"), F.col("__full").cast("int")), rest)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -298,7 +298,7 @@ def test_main_text_and_wrapper_induction(spark):
     rows += [(50, "http://b.example.com", "<p>plain<p>text"), (51, None, None), (52, "x", ""), (53, "http://c.example", "no tags &lt;b&gt; <"), (3, "http://a.example.com/", rows[3][2])]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, host int").repartition(3)
     got = {r["page_id"]: r for r in extract_main_text(df).collect()}
-    assert got[4]["text"] == "T4 & co\none 4 two three"  # the blocks that all pages have are template
+    assert got[4]["text"] == "T4 & co\none 4 two three\nfour"  # the blocks that all pages have are template
     assert got[50]["text"] == "plain\ntext" and got[51]["text"] == "" and got[52]["n_chars"] == 0 and got[53]["text"] == "no tags <b> <"
     assert extract_main_text(df).count() == len(rows) and extract_main_text(df.limit(0)).count() == 0
     assert main_text(PAGE.replace("{i}", "4")) == "T4 & co\none 4 two three\nfour\na\nb\nShare this"
