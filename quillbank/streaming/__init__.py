@@ -1,0 +1 @@
+"""No streaming operator belongs to the question bank; batch operators take any bounded DataFrame."""
