@@ -27,7 +27,7 @@ from quillbank.llm._cluster import materialised
 
 CAPACITY = 4096
 END_ID = 1
-_TEXT_LIMIT = 8 << 20
+_TEXT_LIMIT = 4 << 20
 _WORDS_HELD = 1 << 19
 _SHARD_ROWS = 200_000
 VOCABULARY = "word_bpe_49k.json"

@@ -25,7 +25,7 @@ PAD = 255
 CHUNK_BYTES = 1 << 16
 SIDE = 32
 LOW = 8
-_TEXT_LIMIT = 8 << 20
+_TEXT_LIMIT = 4 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 

@@ -25,7 +25,7 @@ from quillbank.llm._cluster import partitions
 
 WIDTH = 13
 _KEPT_BYTES = 7
-_TEXT_LIMIT = 12 << 20
+_TEXT_LIMIT = 4 << 20
 _NEW = [T.StructField(x, k) for x, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))]
 
 

@@ -19,7 +19,7 @@ from quillbank.llm import _text
 
 VOCABULARY = "piece_bpe_32k.model"
 WORD_START = "▁"
-_TEXT_LIMIT = 8 << 20
+_TEXT_LIMIT = 4 << 20
 _WORDS_HELD = 1 << 20
 
 

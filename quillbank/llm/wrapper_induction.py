@@ -24,7 +24,7 @@ from quillbank.llm._cluster import materialised
 LEAST_PAGES = 5
 CONSTANT = 0.8
 BROADCAST_BYTES = 16 << 20
-_TEXT_LIMIT = 8 << 20
+_TEXT_LIMIT = 4 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br input label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
