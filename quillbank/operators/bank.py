@@ -47,7 +47,7 @@ def batch_edited(questions: DataFrame, edits: DataFrame, tag_mode: str, now_ms:
         "updated_at_ms": F.lit(now_ms).cast("long"),
         "content_version": F.col("content_version") + 1,
     }
-    kinds = {c: questions.schema[c].dataType for c in changed}
+    kinds = {c: questions.schema[c].dataType.simpleString() for c in changed}
     return out.withColumn("__hit", hit).withColumns({c: F.when(F.col("__hit"), x).otherwise(F.col(c)).cast(kinds[c]) for c, x in changed.items()}).select(*questions.columns)
 
 
@@ -70,7 +70,7 @@ def undone(questions: DataFrame, undo: DataFrame, now_ms: int) -> DataFrame:
     out = questions.join(undo.select("id", "version_after", F.from_json("before", shape).alias("__b")), "id", "left")
     hit = F.coalesce(F.col("version_after") == F.col("content_version"), F.lit(False))
     changed = {c: F.col(f"__b.{c}") for c in ("tags", "chapter_id", "last_used_at_ms")} | {"updated_at_ms": F.lit(now_ms).cast("long"), "content_version": F.col("content_version") + 1}
-    return out.withColumn("__hit", hit).withColumns({c: F.when(F.col("__hit"), x).otherwise(F.col(c)).cast(questions.schema[c].dataType) for c, x in changed.items()}).select(*questions.columns)
+    return out.withColumn("__hit", hit).withColumns({c: F.when(F.col("__hit"), x).otherwise(F.col(c)).cast(questions.schema[c].dataType.simpleString()) for c, x in changed.items()}).select(*questions.columns)
 
 
 def binned(questions: DataFrame, ids: DataFrame, now_ms: int | None) -> DataFrame:

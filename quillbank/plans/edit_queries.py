@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillbank.functions import rich, wording
@@ -42,7 +43,7 @@ def batch_edit_append(t):
     return _shown(bank.batch_edited(_parts(t), _part_edits(t), "append", 5))
 
 
-@query(_EDITED.format(hit=_HIT, tags="list_filter(tags, x -> x NOT IN ('TIN', 'NEW'))", parts=_PARTS))
+@query(_EDITED.format(hit=_HIT, tags="list_filter(tags, lambda x: x NOT IN ('TIN', 'NEW'))", parts=_PARTS))
 def batch_edit_remove(t):
     """Tags removed likewise."""
     return _shown(bank.batch_edited(_parts(t), _part_edits(t), "remove", 5))
@@ -79,7 +80,7 @@ def purge(t):
 
 @query("""SELECT p_partkey AS id, array_to_string(list_filter([
     CASE WHEN k AND n < 2 THEN 'too few options' END, CASE WHEN NOT k AND n > 0 THEN 'options of no choice' END,
-    CASE WHEN len(list_distinct(tags)) < len(tags) THEN 'repeated tag' END], x -> x IS NOT NULL), ';') AS broken
+    CASE WHEN len(list_distinct(tags)) < len(tags) THEN 'repeated tag' END], lambda x: x IS NOT NULL), ';') AS broken
     FROM (SELECT *, p_size % 3 <> 0 AS k, p_size % 4 AS n, list_concat(string_split(p_type, ' '), [CASE WHEN p_size % 5 = 0 THEN string_split(p_type, ' ')[1] ELSE 'x' END]) AS tags FROM part)""")
 def question_rules(t):
     """Rules that invented questions break."""
@@ -97,7 +98,8 @@ def taxonomy_reorder(t):
     rows = n.select(F.col("n_nationkey").alias("id"), "n_regionkey", F.col("n_nationkey").cast("long").alias("sort_order"))
     last = n.where("n_regionkey = 2").agg(F.max("n_nationkey").alias("id"))
     asked = n.select(F.col("n_nationkey").alias("id"), F.col("n_name")).join(last, "id", "left_anti")
-    ranked = asked.withColumn("ordinal", -F.conv(F.hex(F.rpad(F.col("n_name"), 6, " ")), 16, 10).cast("decimal(20,0)"))
+    ranked = asked.join(n.select(F.col("n_nationkey").alias("id"), "n_regionkey"), "id")
+    ranked = ranked.withColumn("ordinal", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("n_name"))))
     return bank.reordered(rows, ranked.select("id", "ordinal"), "n_regionkey").select("id", "sort_order")
 
 
@@ -108,8 +110,10 @@ def next_sort_positions(t):
     return bank.next_positions(t("region").select(F.col("r_regionkey").alias("region")), children, "region")
 
 
-@query("""SELECT n_nationkey AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers,
-    (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, customers = 0 AND suppliers = 0 AS deletable FROM nation""")
+@query("""SELECT nation, customers, suppliers, customers = 0 AND suppliers = 0 AS deletable FROM (
+    SELECT n_nationkey AS nation, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM nation
+    LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey
+    LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey)""")
 def taxonomy_delete_guards(t):
     """What still uses each nation."""
     uses = {"customers": t("customer").select(F.col("c_nationkey").alias("nation")), "suppliers": t("supplier").select(F.col("s_nationkey").alias("nation"))}
@@ -124,13 +128,16 @@ def type_names_taken(t):
     return bank.taken_names(aliases.limit(0), aliases, r.select(F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name")))
 
 
-@query("SELECT l_orderkey AS paper_id, l_linenumber AS item_id, nth_value(l_linenumber, k) OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS new_position FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber DESC) AS k FROM lineitem)")
+@query("""SELECT l_orderkey AS paper_id, l_linenumber || l_returnflag AS item_id, nth_value(l_linenumber, k) OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS new_position
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber DESC) AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem))""")
 def reorder_within_type(t):
     """Items of each type in reverse, in the places that the type has."""
-    items = t("lineitem").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("item_id"), F.col("l_returnflag").alias("question_type"), F.col("l_linenumber").alias("position"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    items = lines.select(F.col("l_orderkey").alias("paper_id"), F.concat_ws(":", "l_orderkey", F.concat(F.col("l_linenumber"), F.col("l_returnflag"))).alias("item_id"), F.col("l_returnflag").alias("question_type"), F.col("l_linenumber").alias("position"))
     wanted = items.select("item_id", (-F.col("position")).alias("ordinal"))
     out = bank.reordered_within_type(items, wanted)
-    return out.select("paper_id", (F.col("item_id") % 100).cast("int").alias("item_id"), "new_position")
+    return out.select("paper_id", F.split("item_id", ":")[1].alias("item_id"), "new_position")
 
 
 @query("SELECT p_partkey AS template_id, p_partkey = (SELECT max(p_partkey) FROM part) AS is_default FROM part")
