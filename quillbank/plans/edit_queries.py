@@ -220,3 +220,20 @@ def retired_counters(t):
     maps = counts.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
     out = maps.withColumn("m", bank.merged_counters(F.col("m"), "k0", ["k1"]))
     return out.select("kind", F.col("m")["k0"].alias("old"), F.coalesce(F.try_element_at("m", F.lit("k2")), F.lit(0)).alias("rest"))
+
+
+@query("""SELECT * FROM (SELECT count(*) FILTER (p_partkey % 7 <> 0) AS live_questions FROM part), (SELECT count(*) FILTER (o_orderstatus = 'F') AS saved_papers FROM orders),
+    (SELECT count(*) FILTER (c_acctbal >= 0) AS ready_resources FROM customer)""")
+def backup_summary(t):
+    """What a backup holds: live questions, saved papers, ready files."""
+    papers = t("orders").select(F.when(F.col("o_orderstatus") == "F", "saved").otherwise("draft").alias("paper_status"))
+    files = t("customer").select(F.when(F.col("c_acctbal") >= 0, "ready").otherwise("lost").alias("availability_status"))
+    return resources.summary(_parts(t), papers, files)
+
+
+@query("""SELECT sha256('question.save' || chr(31) || 'question' || chr(31) || p_partkey || chr(31) || '9') AS id, CAST(p_partkey AS VARCHAR) AS entity_id, p_name AS summary,
+    'succeeded' AS outcome FROM part""")
+def audit_log(t):
+    """A log row for each question that was saved, the same in every rerun."""
+    changes = t("part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("summary"))
+    return resources.audit_rows(changes, "question.save", "question", 9).select("id", "entity_id", "summary", "outcome")
