@@ -2,8 +2,8 @@
 
 A page becomes a tree of block elements, in which neighbouring leaves of one kind are one repeated node. One page of
 each host is its model. Every other page of that host is aligned with it by simple tree matching, and Spark counts, for
-each node of the model, how many pages have the same text there. Nodes with a constant text are template; the others are
-slots. The text of slots that lie in the article is the content: blocks inside <article> or <main> where there are such
+each node of the model, how many pages have the same text there. Nodes with a constant text are template, on the pages
+that have that text; the others are slots. The text of slots that lie in the article is the content: blocks inside <article> or <main> where there are such
 elements, else all slots, but never menus, headers, footers, sidebars, notices, adverts, forms, comments or code.
 """
 
@@ -212,24 +212,37 @@ def _texts(group: list[Node], blocks: list[tuple[Node, str]]) -> str:
     return "\n".join(blocks[i][1] for node in group for i in node.blocks)
 
 
-def describe(html: str | None) -> tuple[str, list[str]]:
-    """A page as a model: its skeleton in JSON, and the text of each node."""
+def _in_article(blocks: list[tuple[Node, str]]) -> bool:
+    return any(node.article and not node.dropped for node, _ in blocks)
+
+
+def describe(html: str | None) -> tuple[str, list[str], list[bool]]:
+    """A page as a model: its skeleton in JSON, the text of each node, and which nodes can hold content."""
     root, blocks = parse(html or "")
     tree = skeleton(root)
-    return json.dumps(tree), [_texts(g, blocks) for g in _groups(root)]
+    groups, article = _groups(root), _in_article(blocks)
+    return json.dumps(tree), [_texts(g, blocks) for g in groups], [any(not x.dropped and (x.article or not article) for x in g) for g in groups]
 
 
-def main_text(html: str | None, model: str | None = None, constant: frozenset[int] = frozenset(), held: Aligned | None = None) -> str:
-    """Content of a page, one line for each block; `constant` are the model's template nodes."""
+def main_text(html: str | None, model: str | None = None, constant: dict[int, str] | None = None, held: Aligned | None = None) -> str:
+    """Content of a page, one line for each block; `constant` are the model's template nodes with their texts.
+
+    Template goes only where the page has the model's text, never if it is the larger part of an article, and never if
+    nothing else is left.
+    """
     root, blocks = parse(html or "")
     template: set[int] = set()
     if model and constant:
         tree = skeleton(root)
         for group, number in zip(_groups(root), (held or Aligned()).numbers(model, tree), strict=True):
-            if number in constant:
+            if number in constant and _texts(group, blocks) == constant[number]:
                 template.update(id(x) for x in group)
-    article = any(node.article and not node.dropped for node, _ in blocks)
-    kept = [text for node, text in blocks if not node.dropped and id(node) not in template and (node.article or not article)]
+    article = _in_article(blocks)
+    whole = [(node, text) for node, text in blocks if not node.dropped and (node.article or not article)]
+    kept = [text for node, text in whole if id(node) not in template]
+    left, size = sum(map(len, kept)), sum(len(text) for _, text in whole)
+    if not left or article and 2 * left < size:
+        kept = [text for _, text in whole]
     return "\n".join(kept)
 
 
@@ -238,13 +251,15 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-_MODEL = "host string, model string, texts array<string>"
+_MODEL = "host string, model string, texts array<string>, slots array<boolean>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [describe(x) for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.list_(pa.string()))], names=["host", "model", "texts"])
+        models, texts, slots = ([x[i] for x in found] for i in range(3))
+        columns = [batch.column("host"), pa.array(models, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "model", "texts", "slots"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +287,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = Aligned()
     for whole in batches:
         for batch in _text.sub_batches(whole, "html", _TEXT_LIMIT):
-            columns = (batch.column(x).to_pylist() for x in ("html", "model", "constant"))
-            out = [main_text(h, m, frozenset(c or ()), held) for h, m, c in zip(*columns, strict=True)]
+            columns = (batch.column(x).to_pylist() for x in ("html", "model", "constant", "texts"))
+            out = [main_text(h, m, dict(zip(c or (), t or (), strict=True)), held) for h, m, c, t in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
@@ -285,7 +300,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, constant
     Character references are decoded, white space in a block is one space, blocks are joined by one newline. Null and
     empty html give an empty text. A null url, or one without a host, belongs to the host "". A node is template if at
     least `constant` of at least `least_pages` aligned pages have the model's text there, provided that some node of
-    that host varies (else its pages are copies of one, and nothing is template). Rows that repeat come back each.
+    that host which can hold content varies (else its pages are copies of one, and nothing is template). Pages with
+    another text there keep it. Rows that repeat come back each.
     Other columns are left out. A host with a large share of all pages is only ever pre-aggregated.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host_of(F.col("url")))
@@ -297,11 +313,12 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, constant
     counted = rows.join(small(models), "host").select("host", "html", "model", "texts").mapInArrow(_compare, "host string, node int, pages long, same long")
     share = counted.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     fixed = (F.col("pages") >= least_pages) & (F.col("same") >= constant * F.col("pages"))
-    varied = F.max((F.col("same") < 0.5 * F.col("pages")).cast("int")) == 1
-    template = share.groupBy("host").agg(F.collect_list(F.when(fixed, F.col("node"))).alias("constant"), varied.alias("varied")).where("varied").drop("varied")
-    template = materialised(template.join(models.select("host", "model"), "host"))
+    half = F.when(F.col("same") < 0.5 * F.col("pages"), F.col("node"))
+    template = share.groupBy("host").agg(F.collect_list(F.when(fixed, F.col("node"))).alias("constant"), F.collect_list(half).alias("varied")).join(models, "host")
+    template = template.where(F.exists("varied", lambda x: F.get("slots", x)))
+    template = materialised(template.select("host", "model", "constant", F.transform("constant", lambda x: F.get("texts", x)).alias("texts")))
     out = rows.join(small(template), "host", "left")
-    return out.select("page_id", "url", "html", "model", "constant").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return out.select("page_id", "url", "html", "model", "constant", "texts").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

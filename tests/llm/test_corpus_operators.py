@@ -306,6 +306,21 @@ def test_main_text_and_wrapper_induction(spark):
     assert {r["text"] for r in extract_main_text(copies).collect()} == {main_text(rows[0][2])}
 
 
+def test_wrapper_induction_keeps_other_bodies_and_copies(spark):
+    page = "<nav><p>menu {i}</p></nav><div class=ad>buy {i}</div>{a}<p>{x}<p>{y}{z}"
+    stub, other = ("this text was removed", "ask its author"), ("a body of its own", "and more of it")
+    rows = []
+    for host, a, z in (("a", "<article>", "</article>"), ("b", "<div>", "</div>"), ("c", "<article><h1>t{i}</h1>", "</article>")):
+        for i in range(10):
+            x, y = other if i == 7 else stub
+            rows.append((len(rows), f"http://{host}.example/{i}", page.format(i=i, a=a.format(i=i), x=x, y=y, z=z)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    for i in range(30):
+        body = "\n".join(other if i % 10 == 7 else stub)
+        assert got[i] == (f"t{i % 10}\n{body}" if i >= 20 else body)
+
+
 def test_tree_matching_against_plain_recursion():
     def plain(a, b):
         if a[0] != b[0]:
