@@ -31,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea head dialog menu title object".split())
 ARTICLE = frozenset(("article", "main"))
+WHOLE = frozenset(("html", "body", "main", "article"))  # no class word drops these
+HOLDS = frozenset("content main article post entry story page wrapper container".split())  # nor elements that are named so
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice alert sidebar menu nav navbar navigation "
@@ -44,21 +46,34 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def _named(tag: str, values: dict[str, str], article: bool) -> bool:
+    """Whether a class name or the id is a word of WORDS, or begins with one; a header in an article is part of it."""
+    if tag in WHOLE:
+        return False
+    leading = {_SPLIT.split(x.strip("-_"), maxsplit=1)[0] for x in f"{values.get('class', '')} {values.get('id', '')}".split()}
+    if article:
+        leading.discard("header")
+    return not leading.isdisjoint(WORDS) and leading.isdisjoint(HOLDS)
+
+
 class Node:
     """A block element: its kind (tag and class), children, and the numbers of its text blocks."""
 
-    __slots__ = ("kind", "tag", "children", "blocks", "dropped", "article", "kids")
+    __slots__ = ("kind", "tag", "children", "blocks", "out", "named", "dropped", "article", "kids")
 
-    def __init__(self, tag: str, kind: str, dropped: bool, article: bool) -> None:
-        self.tag, self.kind, self.dropped, self.article = tag, kind, dropped, article
+    def __init__(self, tag: str, kind: str, out: bool, named: bool, article: bool) -> None:
+        self.tag, self.kind, self.out, self.named, self.dropped, self.article = tag, kind, out, named, False, article
         self.children: list[Node] = []
         self.blocks: list[int] = []
         self.kids: list[tuple[str, list[Node]]] = []
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of block elements, and the text blocks in page order, each with its element."""
-    root = Node("", "", False, False)
+    """The tree of block elements, and the text blocks in page order, each with its element.
+
+    Elements go by their class words unless they hold the body, <main>, or the only articles of the page.
+    """
+    root = Node("", "", False, False, False)
     stack, blocks, held = [root], [], []
 
     def flush() -> None:
@@ -105,9 +120,11 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 break
         values = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         above = stack[-1]
-        named = set(_SPLIT.split(values.get("class", "") + " " + values.get("id", "")))
-        out = tag in DROPPED and not (tag == "header" and above.article) or values.get("role") in ROLES or not named.isdisjoint(WORDS)
-        node = Node(tag, f"{tag}.{values.get('class', '')}", above.dropped or out, above.article or tag in ARTICLE)
+        out = tag in DROPPED and not (tag == "header" and above.article) or values.get("role") in ROLES
+        node = Node(tag, f"{tag}.{values.get('class', '')}", out, _named(tag, values, above.article), above.article or tag in ARTICLE)
+        if tag in ("main", "body"):
+            for x in stack:
+                x.named = False
         above.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -115,9 +132,40 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
     flush()
+    _drop(root)
+    if blocks and not any(node.article and not node.dropped for node, _ in blocks) and _free_articles(root):
+        _drop(root)
     return root, blocks
 
 
+def _drop(root: Node) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for x in node.children:
+            x.dropped = node.dropped or x.out or x.named
+        todo += node.children
+
+
+def _free_articles(root: Node) -> bool:
+    """Take the class words from all elements that hold an article; whether there were any.
+
+    What is outside of these articles stays content too: they may be comments on a page without other articles.
+    """
+    order, above, found = [root], {}, False
+    for node in order:
+        above.update((id(x), node) for x in node.children)
+        order += node.children
+    for node in order:
+        up = node if node.tag in ARTICLE else root
+        while up is not root:
+            up = above[id(up)]
+            found, up.named = found or up.named, False
+    for node in order:
+        node.article = node.article and not found
+    return found
+
+
 def skeleton(node: Node) -> list:
     """[kind, children], with neighbouring leaves of one kind as one child; node.kids gets the elements of each."""
     node.kids = []

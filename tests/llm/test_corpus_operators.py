@@ -321,6 +321,26 @@ def test_wrapper_induction_keeps_other_bodies_and_copies(spark):
         assert got[i] == (f"t{i % 10}\n{body}" if i >= 20 else body)
 
 
+def test_class_words_do_not_drop_whole_articles():
+    kept = (
+        '<html class="js cookies"><body class="no-sidebar"><p>text</body>',
+        '<body><div id="content" class="with-sidebar"><p>text</div>',
+        '<body><div id="content" class="sidebar-left"><p>text</div>',
+        '<article class="post comments-open"><p>text</article>',
+        '<article><div class="article-header"><h1>text</h1></div></article>',
+        '<article><div class="header"><h1>text</h1></div></article>',
+        '<div class="widget"><article><p>text</article></div>',
+        '<div class="sidebar"><div><main><p>text</main></div></div>',
+        '<div class="navbar-fixed"><body><p>text</body></div>',
+        '<div class="widget"><div><article><p>text</article></div></div>',
+    )
+    assert [main_text(x) for x in kept] == ["text"] * len(kept)
+    gone = ('<div class="ad-slot"><p>x</div>', '<div class="x sidebar"><p>x</div>', '<div id="comments"><article class="comment"><p>x</article></div>', '<div class="share_buttons">x</div>')
+    assert [main_text(f"<article><p>text</article>{x}") for x in gone] == ["text"] * len(gone)
+    assert [main_text(f"<p>text</p>{x}") for x in (gone[0], gone[1], gone[3])] == ["text"] * 3
+    assert main_text(f"<p>text</p>{gone[2]}").startswith("text")
+
+
 def test_tree_matching_against_plain_recursion():
     def plain(a, b):
         if a[0] != b[0]:
