@@ -180,6 +180,25 @@ def test_jaccard_classes_larger_than_a_chunk(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(df, chunk=chunk).collect()} == want
 
 
+def test_jaccard_links_are_all_counted(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            words[rng.randrange(60)] = f"n{i}"
+        rows.append((i, " ".join(words[: rng.choice([45, 60])])))
+    rows += [(None, rows[3][1]), (80, rows[3][1].upper()), (3, rows[3][1]), (81, "a b"), (82, "A B"), (83, None), (84, ""), (85, "alone in here with no copy")]
+    sets = [_classes({0: t})[0][0] and frozenset(zip(*[(t.lower().split())[k:] for k in range(5)]) if len(t.split()) >= 5 else [tuple(t.lower().split())]) for _, t in rows]
+    want = sorted((r[0] is None, r[0] or 0, sum(bool(a) and bool(b) and j != i and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets))) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
+    assert len({x[2] for x in want}) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (8, 128):
+        got = jaccard_classes(df, chunk=16, block=block).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_links"]) for r in got) == want
+
+
 def test_substring_dedup(docs, texts, empty):
     least = {}
     words = {i: WORD.findall(t or "") for i, t in texts.items()}
