@@ -1,7 +1,8 @@
 """Multi-party chat formatting: each conversation once for every participant, with that one as the assistant.
 
 DataFrame expressions only. Turns are gathered in blocks of at most TURNS consecutive turn numbers, and a block in which
-numbers repeat so often that more than ROWS rows share it is dealt out, so no task gathers a whole large conversation.
+numbers repeat so often that more than ROWS rows share it is cut into ranges of the order of turns, so no task gathers a
+whole large conversation.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbank.functions.tables import numbered
 from quillbank.llm._cluster import SMALL_TABLE, materialised
 
 TURNS = 256
@@ -21,9 +23,10 @@ def rotate_perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, bl
 
     For every participant (each role of the conversation but those in `context`) the dialogue is rendered with that
     speaker as assistant, every other as user with its name, and context turns as they are. mask has a 1 for each turn
-    to learn from, in order, and masked_chars is the number of their characters. Parts follow each other by part and
-    sub_part; a conversation whose turn numbers are below TURNS has one. Within a part the order is turn (null last),
-    role, text; repeated rows stay. Null roles are "unknown", null texts empty, null conv_ids one conversation.
+    to learn from, in order, and masked_chars is the number of their characters. The order is turn (null last), role,
+    text; what is rendered by part and sub_part, one after the other, is the dialogue in that order. A conversation of
+    at most `rows` rows whose turn numbers are below TURNS has one part. Context turns are in their own place only, not
+    in later parts. Repeated rows stay. Null roles are "unknown", null texts empty, null conv_ids one conversation.
     Conversations without participants give no rows. Other columns are left out.
     """
     clean = turns.select(
@@ -34,11 +37,19 @@ def rotate_perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, bl
     )
     clean = clean.withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit(2**53)).cast("long"))
     full = clean.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > rows)
-    full = materialised(full.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("n") / rows).alias("subs")))
-    side = F.broadcast(full) if full.count() <= SMALL_TABLE else full
-    dealt = clean.join(side, clean["conv_id"].eqNullSafe(side["c"]) & (clean["part"] == side["p"]), "left")
-    sub = F.when(F.col("subs").isNotNull(), F.pmod(F.xxhash64("turn", "role", "text"), F.col("subs"))).otherwise(0)
-    dealt = dealt.withColumn("sub_part", sub.cast("int"))
+    full = materialised(full.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n", F.ceil(F.col("n") / rows).alias("subs")))
+    many = full.count()
+    dealt = clean.withColumn("sub_part", F.lit(0))
+    if many:
+        side = F.broadcast(full) if many <= SMALL_TABLE else full
+        same = clean["conv_id"].eqNullSafe(side["c"]) & (clean["part"] == side["p"])
+        order = [F.asc("conv_id"), F.asc("part"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
+        placed = numbered(clean.join(side, same), order)
+        start = placed.groupBy(F.col("c").alias("c2"), F.col("p").alias("p2")).agg(F.min("position").alias("start"))
+        start = F.broadcast(start) if many <= SMALL_TABLE else start
+        placed = placed.join(start, placed["c"].eqNullSafe(start["c2"]) & (placed["p"] == start["p2"]))
+        sub = F.floor((F.col("position") - F.col("start")) * F.col("subs") / F.col("n")).cast("int")
+        dealt = dealt.join(side, same, "left_anti").unionByName(placed.withColumn("sub_part", sub).select(*dealt.columns))
     turn = F.struct(F.col("turn").isNull().alias("last"), F.col("turn"), F.col("role"), F.col("text"))
     parts = dealt.groupBy("conv_id", "part", "sub_part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     who = clean.where(~F.col("role").isin(*context)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()

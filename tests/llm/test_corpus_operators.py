@@ -136,6 +136,20 @@ def test_perspectives(spark):
     assert sum(r["n_turns"] for r in parts) == 100 and max(r["n_turns"] for r in parts) < 50
 
 
+def test_perspectives_of_large_blocks_keep_the_order(spark):
+    rng = random.Random(4)
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice(["system", "ann", "bob"]), str(rng.randrange(40))) for c in (None, 1, 2) for _ in range(90 if c != 2 else 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = {(r["conv_id"], r["perspective"], r["part"]): r for r in rotate_perspectives(df).collect()}
+    cut = defaultdict(list)
+    for r in sorted(rotate_perspectives(df, rows=10).collect(), key=lambda r: r["sub_part"]):
+        assert r["n_turns"] <= 10
+        cut[r["conv_id"], r["perspective"], r["part"]].append(r)
+    assert cut.keys() == whole.keys() and max(map(len, cut.values())) > 5
+    for k, r in whole.items():
+        assert "".join(x["rendered"] for x in cut[k]) == r["rendered"] and "".join(x["mask"] for x in cut[k]) == r["mask"]
+
+
 def _classes(texts):
     sets = {}
     for i, t in texts.items():
