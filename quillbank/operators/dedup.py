@@ -97,6 +97,91 @@ def best_match(probes: DataFrame, bank: DataFrame, window: int = WINDOW) -> Data
     return best.select("probe_id", F.col("x.candidate").alias("candidate"), F.least("x.similarity", F.lit(99)).cast("int").alias("similarity"), status.alias("status"))
 
 
+def _bank_candidates(items: DataFrame, bank: DataFrame, window: int) -> DataFrame:
+    """(ordinal, candidate, rank): the first `window` rows of a walk outwards from each item's place in the bank.
+
+    The bank is in the order of length, latest change first, id; of equal distances the shorter side comes first.
+    """
+    least = window + 1  # the item's own question is left out
+    counts = bank.groupBy("length").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("length", "n")).alias("lengths"))
+    at = items.select("ordinal", "question_id", F.col("length").alias("item_length")).crossJoin(F.broadcast(counts))
+    far = F.array_sort(F.transform("lengths", lambda x: F.struct(F.abs(x["length"] - F.col("item_length")).cast("long").alias("d"), x["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"))
+    step = lambda a, x: F.when(a["n"] < least, F.struct((a["n"] + x["n"]).alias("n"), x["d"].alias("d"))).otherwise(a)
+    at = at.withColumn("radius", F.aggregate(far, start, step)["d"])
+    close = F.filter("lengths", lambda x: F.abs(x["length"] - F.col("item_length")) <= F.col("radius"))
+    at = at.select("ordinal", "question_id", "item_length", F.explode(F.transform(close, lambda x: x["length"])).alias("length"))
+    right, left = Window.partitionBy("length").orderBy(F.desc("updated"), "id"), Window.partitionBy("length").orderBy("updated", F.desc("id"))
+    placed = bank.select("length", F.col("id").alias("candidate"), F.row_number().over(right).alias("right"), F.row_number().over(left).alias("left"))
+    near = at.join(placed.where(F.least("right", "left") <= least), "length").where(~F.col("candidate").eqNullSafe(F.col("question_id")))
+    above = F.col("length") >= F.col("item_length")
+    near = near.withColumn("k", F.when(above, F.col("right")).otherwise(F.col("left"))).where(F.col("k") <= least)
+    order = Window.partitionBy("ordinal").orderBy(F.abs(F.col("length") - F.col("item_length")), above, "k")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window).select("ordinal", "candidate", "rank")
+
+
+def _earlier_candidates(items: DataFrame, window: int) -> DataFrame:
+    """(ordinal, candidate, rank): of the items before, those nearest in length; shorter or equal, then later ones first."""
+    prior = items.select(F.col("ordinal").alias("candidate"), F.col("length").alias("prior_length"))
+    near = items.select("ordinal", "length").join(prior, F.col("candidate") < F.col("ordinal"))
+    order = Window.partitionBy("ordinal").orderBy(F.abs(F.col("prior_length") - F.col("length")), F.col("prior_length") > F.col("length"), F.desc("candidate"))
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window).select("ordinal", "candidate", "rank")
+
+
+def check_batch(items: DataFrame, bank: DataFrame, mode: str = "full", window: int = WINDOW) -> DataFrame:
+    """(ordinal, status, candidate, earlier, similarity, evaluated) of each row of a batch.
+
+    items: (ordinal, text, length, fingerprint) and, where a row is a question of the bank already, its question_id;
+    bank: (id, text, length, updated, fingerprint). Null fingerprints are not comparable. `candidate` is a bank id,
+    `earlier` the ordinal of a row of the batch. Mode full: the first exact row of the bank, else the first of the batch,
+    else the most similar of the bank's nearest lengths; exact: without the last; import: the batch alone, first its
+    exact rows, else the most similar of the rows before (only if suspected). A batch is bounded, as its rows meet.
+    """
+    if mode not in ("full", "exact", "import"):
+        raise ValueError(f"no such mode: {mode}")
+    if "question_id" not in items.columns:
+        items = items.withColumn("question_id", F.lit(None).cast(bank.schema["id"].dataType))
+    out = first_occurrence(items.select("ordinal", "fingerprint")).select("ordinal", F.col("first").alias("same_batch"))
+    none = F.lit(None).cast(bank.schema["id"].dataType)
+    if mode == "import":
+        out = out.withColumn("same_bank", none)
+    else:
+        other = bank.select("fingerprint", F.col("id").alias("same_bank"), F.col("length").alias("l"), F.col("updated").alias("u"))
+        hits = items.select("ordinal", "question_id", "fingerprint").join(other, "fingerprint").where(~F.col("same_bank").eqNullSafe(F.col("question_id")))
+        order = Window.partitionBy("ordinal").orderBy("l", F.desc("u"), "same_bank")
+        out = out.join(hits.withColumn("k", F.row_number().over(order)).where("k = 1").select("ordinal", "same_bank"), "ordinal", "left")
+    exact = F.col("same_bank").isNotNull() | F.col("same_batch").isNotNull()
+    if mode == "exact":
+        out = out.withColumns({"near": none, "value": F.lit(None).cast("int"), "n": F.lit(0).cast("long")})
+    else:
+        rest = items.join(out.where(~exact).select("ordinal"), "ordinal", "left_semi")
+        if mode == "import":
+            near = _earlier_candidates(items, window).join(rest.select("ordinal"), "ordinal", "left_semi")
+        else:
+            near = _bank_candidates(rest, bank, window)
+        tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+        letter = "p" if mode == "import" else "b"
+        pairs = near.select("ordinal", "candidate", "rank", tag("p", "ordinal").alias("left_id"), tag(letter, "candidate").alias("right_id"))
+        texts = items.select(tag("p", "ordinal").alias("id"), "text")
+        if mode == "full":
+            used = near.select(F.col("candidate").alias("id")).distinct()
+            texts = texts.unionByName(bank.join(used, "id", "left_semi").select(tag("b", "id").alias("id"), "text"))
+        scored = pair_similarity(pairs.select("left_id", "right_id"), texts).join(pairs, ["left_id", "right_id"])
+        best = scored.groupBy("ordinal").agg(F.max_by(F.struct("candidate", "similarity"), F.struct("similarity", -F.col("rank"))).alias("x"), F.count("*").alias("n"))
+        out = out.join(best.select("ordinal", F.col("x.candidate").alias("near"), F.col("x.similarity").alias("value"), "n"), "ordinal", "left")
+    suspected = F.coalesce(F.col("value") >= SUSPECTED, F.lit(False))
+    shown = suspected if mode == "import" else F.col("near").isNotNull()
+    near, earlier = F.when(shown, F.col("near")), F.when(F.col("same_bank").isNull(), F.col("same_batch"))
+    return out.select(
+        "ordinal",
+        F.when(exact, "exact").when(suspected, "suspected").otherwise("none").alias("status"),
+        (F.col("same_bank") if mode == "import" else F.coalesce("same_bank", near)).alias("candidate"),
+        (F.coalesce(earlier, near) if mode == "import" else earlier).alias("earlier"),
+        F.when(exact, 100).when(shown, F.least("value", F.lit(99))).cast("int").alias("similarity"),
+        F.when(exact, 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("evaluated"),
+    )
+
+
 def without_ignored(pairs: DataFrame, versions: DataFrame, ignores: DataFrame) -> DataFrame:
     """Pairs (left_id, right_id) that are not ignored; an ignore holds only for the versions it was given for."""
     v = versions.select("id", "content_version")

@@ -283,7 +283,7 @@ _PROBE = "probes AS (SELECT s_suppkey AS id, lower(replace('blue ' || s_name, '
           SELECT pid AS probe_id, c AS candidate, CAST(least(v, 99) AS INTEGER) AS similarity, CASE WHEN v >= 82 THEN 'suspected' ELSE 'none' END AS status
           FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY v DESC, k) AS n FROM scored) WHERE n = 1""")
 def import_batch_check(t):
-    """The best match in the bank for each row of a batch."""
+    """The best match in the bank for each row, in the order of the check of one draft; dedup.check_batch() checks a batch."""
     text = T.compared_text(F.concat(F.lit("blue "), F.col("s_name")))
     probes = t("supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")).withColumn("length", F.length("text"))
     return dedup.best_match(probes, _stems(t))
