@@ -1,6 +1,7 @@
 """Each corpus operator against a plain version, on rows with nulls, repeats, ties, long texts and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -466,3 +467,54 @@ def test_packing(docs, texts, empty):
     for spans in fill.values():
         assert [a for a, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:k]) for k in range(len(spans))]
         assert sum(n for _, n in spans) <= 512
+
+
+def test_parsing_of_odd_and_very_long_pages():
+    text = lambda x: main_text(x).split("\n")
+    assert text("<article><p>a<svg/><p>b<svg><path/>x</svg><p>c</article>") == ["a", "b", "c"]
+    assert text("<p>a<iframe src=x><p>b<iframe>in</iframe>c") == ["a", "b", "c"] and text("<p>a<iframe src=x><p>b") == ["a", "b"]
+    assert text("<article><p>see <math><mi>x</mi><mo>=</mo><mn>2</mn></math> there<blockquote><p>q</p><footer>who</footer></blockquote></article>") == ["see x=2 there", "q", "who"]
+    assert text("<title>t<p>a") == ["t", "a"] and text("<head><title>t</title><body><p>a") == ["a"]
+    assert text("<p title=it's>it isn't</p><p title='a>b'>c</p>") == ["it isn't", "c"] and main_text("a < b & c > d") == "a < b & c > d"
+    assert text("<script>var a = '<p>';") == [""] and text("<div class=related-content><p>" + "a " * 50 + "</div><p>b")[0].startswith("a a")
+    deep = main_text("<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y")
+    assert deep == "x\ny"
+    root, _ = parse("<div>" * 3000 + "x")
+    assert _numbers(skeleton(root), skeleton(root))[0] == 0
+    from time import perf_counter
+
+    began = perf_counter()
+    assert main_text("<a " * 350_000).startswith("<a <a") and main_text("<a " * 350_000 + '="' + ">" + '"') is not None
+    assert main_text("<li>" * 100_000 + "x") == "x" and main_text("<td><ul>" + "<div>" * 100_000 + "<td>" * 1000 + "x") == "x"
+    alternating = "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(1000))
+    root, _ = parse(alternating)
+    assert len(skeleton(root)[1]) == 2 and len(main_text(alternating, json.dumps(skeleton(root)), {9: ""}).split("\n")) == 2000
+    odd = "".join(f'<div class="c{i}"><b>x</b></div>' for i in range(5000))
+    root, _ = parse(odd)
+    assert max(_numbers(skeleton(root), skeleton(root))) < 1024 and len(text(odd)) == 5000
+    assert perf_counter() - began < 30
+
+
+def test_copies_of_one_story_with_another_date_keep_it(spark):
+    page = "<nav><p>menu</nav><article><p>{i} March</p><p>the story</p><p>and its end</p></article><footer>f</footer>"
+    rows = [(i, "http://a.example/", page.replace("{i}", str(i))) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{i} March\nthe story\nand its end" for i in range(10)}
+
+
+def test_the_wrapper_alone_finds_the_content(spark):
+    """Rotating adverts, menus of links and constant notices go without any hint of element names or classes."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choices([f"w{i}" for i in range(500)], k=n))
+    adverts, menus = [words(8) for _ in range(6)], [[words(1) for _ in range(4)] for _ in range(50)]
+    rows, want = [], {}
+    for i in range(60):
+        body = [words(30) for _ in range(rng.randint(1, 6))]
+        menu = "".join(f"<li><a href=x>{x}</a>" for x in rng.choice(menus))
+        other = i % 3 == 0  # a second layout of the host
+        rows.append((i, "http://a.example/", f"<div><ul>{menu}</ul></div><div class=q>{rng.choice(adverts)}</div>" + "".join(f"<p>{x}" for x in body) + ("<section><table><td>same words" if other else "<div>the same")))
+        want[i] = "\n".join(body)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in extract_main_text(df, hints=False).collect()} == want
+    off = {r["page_id"]: r["text"] for r in extract_main_text(df, least_pages=1000, hints=False).collect()}
+    assert all(off[i] != want[i] and want[i] in off[i] for i in want)
