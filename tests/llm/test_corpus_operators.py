@@ -265,6 +265,64 @@ def test_jaccard_links_are_all_counted(spark):
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_links"]) for r in got) == want
 
 
+def _paragraph_mix(n, seed=11):
+    """Documents of 8 out of 60 paragraphs each: many share paragraphs, hardly any two are similar."""
+    rng = random.Random(seed)
+    paragraphs = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(60)]
+    return [" ".join(paragraphs[k] for k in rng.sample(range(60), 8)) for _ in range(n)]
+
+
+def test_jaccard_classes_of_paragraph_mixes(spark, monkeypatch):
+    from quillbank.llm import ngram_jaccard
+
+    dealt = []
+    plain = ngram_jaccard._verified
+
+    def counting(rows, percent, n):
+        dealt.append(rows.count())
+        return plain(rows, percent, n)
+
+    monkeypatch.setattr(ngram_jaccard, "_verified", counting)
+    totals = []
+    for n in (500, 1000, 2000):
+        rows = list(enumerate(_paragraph_mix(n)))
+        dealt.clear()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk=16, links=False).collect()}
+        totals.append(sum(dealt))
+        assert len(got) == n
+    assert totals[2] < 2.5 * totals[1] < 6.25 * totals[0] and totals[2] < 16 * 2000, totals
+
+
+def test_jaccard_groups_are_split_by_further_tokens(spark):
+    texts = _paragraph_mix(120, 1)
+    rng = random.Random(7)
+    for i in range(0, 120, 3):  # near copies, and copies in another order of paragraphs
+        words = texts[i].split()
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(5)}"
+        texts.append(" ".join(words))
+        texts.append(" ".join(texts[i].split()[80:] + texts[i].split()[:80]))
+    rows = list(enumerate(texts))
+    want = _classes(dict(rows))
+    assert 40 < len({c for _, c in want.values()}) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group, levels in ((4, 6), (4, 1), (64, 6)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(df, chunk=4, links=False, group_size=group, levels=levels).collect()}
+        assert got == want
+
+
+def test_sets_of_one_id_are_told_apart():
+    import pyarrow as pa
+
+    from quillbank.llm.ngram_jaccard import WORDS, _shingles
+
+    batch = pa.RecordBatch.from_pydict({"text": [f"a{i // 2} b c d e f g{i // 2}" for i in range(8)]})
+    _, _, ids, check = _shingles(batch, WORDS, np.zeros(0, np.int64))
+    assert len(set(ids.tolist())) == len(set(check.tolist())) == 4 and (ids[::2] == ids[1::2]).all() and (check[::2] == check[1::2]).all()
+    _, _, again, same = _shingles(batch, WORDS, np.sort(ids[:2]))
+    assert (again[2:] == ids[2:]).all() and again[0] == again[1] != ids[0] and (same == check).all()
+
+
 def test_substring_dedup(docs, texts, empty):
     least = {}
     words = {i: WORD.findall(t or "") for i, t in texts.items()}
