@@ -394,6 +394,59 @@ def test_exact_topk(spark):
     assert exact_topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_prunes_by_length_coordinate_and_bucket():
+    from quillbank.llm.exact_topk import Bucket, _best
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (40, 8))
+    near = centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.02, (4000, 8))
+    near = np.floor(1024 * near / np.linalg.norm(near, axis=1)[:, None])  # lengths are nearly one
+    spread = rng.normal(0, 1, (4000, 8))
+    spread = np.floor(1024 * spread / np.linalg.norm(spread, axis=1)[:, None] * rng.uniform(1, 3, 4000)[:, None])
+    for rows, wanted in ((near, "coordinate"), (spread, "length")):
+        ids, counts = np.arange(len(rows)), {}
+        order = np.argsort(-np.linalg.norm(rows, axis=1), kind="stable")
+        tables = [Bucket(ids[x], rows[x]) for x in np.split(order, 8 if wanted == "coordinate" else 2)]
+        queries = ids[::100]
+        own = np.linalg.norm(rows[queries], axis=1)
+        best = {i: (np.zeros(0, int), np.zeros(0, int)) for i in range(len(queries))}
+        floors = np.full(len(queries), -np.inf)
+        for table in tables:
+            for i, some, scores in table.search(queries, rows[queries], own, floors, 10, counts):
+                some, scores = np.concatenate([best[i][0], some]), np.concatenate([best[i][1], scores])
+                at = _best(some, scores, 10)
+                best[i] = some[at], scores[at]
+                if len(at) == 10:
+                    floors[i] = scores[at].min()
+        exact = (rows[queries] @ rows.T).astype(int)
+        for i, q in enumerate(queries):
+            other = ids[ids != q]
+            at = _best(other, exact[i][other], 10)
+            assert best[i][0].tolist() == other[at].tolist() and best[i][1].tolist() == exact[i][other[at]].tolist()
+        assert counts[wanted] > 5000 and counts["verified"] < 0.6 * len(queries) * len(rows), counts
+        assert wanted == "length" or counts["bucket"] > 0
+
+
+def test_exact_topk_of_many_buckets_and_groups(spark):
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.01/embeddings.parquet'").fetchall()
+    rng = np.random.default_rng(6)
+    rows += [(100_000 + i, (np.array(v) * rng.lognormal(0, 0.7)).tolist()) for i, v in rows]
+    v = {i: np.floor(1024 * np.array(x, float)).astype(int) for i, x in rows}
+    matrix, ids = np.array(list(v.values())), np.array(list(v))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for group_bytes in (1, 1 << 17):
+        got = defaultdict(list)
+        for r in exact_topk(df, df.where("vec_id % 100 = 0"), bucket_rows=64, group_bytes=group_bytes).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert set(got) == {i for i in v if i % 100 == 0}
+        for q, found in got.items():
+            scores = matrix @ v[q]
+            order = [k for k in np.lexsort((ids, -scores)) if ids[k] != q][:10]
+            assert found == [(int(ids[k]), int(scores[k])) for k in order]
+
+
 def test_sainte_lague_equals_highest_quotients():
     rng = random.Random(6)
     for _ in range(50):
