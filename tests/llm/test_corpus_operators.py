@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillbank.llm import _text
 from quillbank.llm._cluster import components
@@ -19,7 +20,7 @@ from quillbank.llm.media_columns import cosine_hash, decode_png, encode_png, ima
 from quillbank.llm.ngram_jaccard import jaccard_classes
 from quillbank.llm.perspective_chat import OP2_SQL, rotate_perspectives
 from quillbank.llm.quality_classifier import fit, score_quality, scores, train
-from quillbank.llm.source_mixing import mix_sources, mixed_sizes, sainte_lague, targets
+from quillbank.llm.source_mixing import mix_sources, mixed_sizes, sainte_lague, shard_quotas, targets
 from quillbank.llm.substring_dedup import substring_dedup
 from quillbank.llm.token_counts import LongestMatch, token_counts
 from quillbank.llm.wrapper_induction import _numbers, extract_main_text, main_text, parse, skeleton, tree_match
@@ -509,6 +510,47 @@ def test_mixing(docs, texts, empty):
     assert words == sum(r["taken"] for r in got)
 
 
+def test_mixing_places_every_word_as_a_plain_version(spark):
+    """Taken words, word by word: from the blocks of each shard that mixed_sizes() says are chosen."""
+    rng = random.Random(15)
+    rows = [(i % 50 if i % 9 else None, ["a", "b", None][i % 3] if i < 200 else "tiny", " ".join(f"w{i}x{k}" for k in range(rng.choice([0, 1, 7, 30])))) for i in range(203)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = mixed_sizes(df, block=4).collect()
+    sizes = defaultdict(int)
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    order = ["a", "b", "tiny", None]
+    target = dict(zip(order, targets([sizes[s] for s in order])))
+    taken = defaultdict(int)
+    for r in got:
+        assert (r["source_size"], r["target"]) == (sizes[r["source"]], pytest.approx(target[r["source"]]))
+        inside = sum(any((b - r["phase"]) % r["blocks"] < r["chosen"] for b in [(r["begin"] + k) // r["block"]]) for k in range(r["size"]))
+        assert r["taken"] == r["full"] * r["size"] + inside <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in order:
+        here = sorted((r["begin"], r["size"]) for r in got if r["source"] == s and r["size"])
+        assert all(a + n == b for (a, n), (b, _) in zip(here, here[1:])) and here[0][0] == 0  # one shard a source here
+        assert abs(taken[s] - target[s]) <= 4 + 0.02 * target[s]
+    whole = {t for _, _, t in rows}
+    texts = [r["text"] for r in mix_sources(df.withColumn("__row", F.lit(1)), block=4).collect()]
+    assert sum(len(t.split()) for t in texts) == sum(taken.values()) and sum(t not in whole for t in texts) <= 8  # few are cut
+
+
+def test_shard_quotas_equal_highest_quotients(spark):
+    rng = random.Random(16)
+    rows, want = [], {}
+    for s in ("a", None, "c", "d"):
+        words = [rng.choice([0, 1, 5, 5, 1000, rng.randrange(1, 300)]) for _ in range(40)] if s != "d" else [10**6] + [3] * 60
+        quota = rng.randrange(0, 400) if s != "d" else 5000
+        rows += [(s, i, w, quota) for i, w in enumerate(words)]
+        want[s] = sorted(((-w / (2 * k + 1), i) for i, w in enumerate(words) for k in range(quota) if w))[:quota]
+    got = defaultdict(dict)
+    for r in shard_quotas(spark.createDataFrame(rows, "source string, shard int, words long, quota long")).collect():
+        got[r["source"]][r["shard"]] = r["seats"]
+    for s, ranked in want.items():
+        assert [got[s][i] for i in sorted(got[s])] == [sum(j == i for _, j in ranked) for i in sorted(got[s])]
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><li>n{i}</li></nav><div class="ad x">buy {i}</div>
 <div id=top><p>Welcome to us</p></div><article><h1>T{i} &amp; co</h1><p><b>one {i}<br>two&nbsp; three<p>four<ul><li>a<li>b</ul>
 <p>Share this<aside>side</aside><form>f</form></article><section class="comments"><p>c{i}</p></section><footer>f</footer></body></html>"""
