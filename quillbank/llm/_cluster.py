@@ -13,15 +13,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder, so that a lost executor costs no more than a reread.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: spark.checkpoint.dir, or the context's.
 
-    spark.checkpoint.dir is read from the session; a folder of our own is set only where it is unset, as in tests.
+    A temporary folder of this machine stands in where neither is set and the master is local, as in tests; on a
+    cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillbank-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="quillbank-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The same rows from the shared checkpoint folder, so that a lost executor costs no more than a reread."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

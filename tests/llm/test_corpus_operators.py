@@ -19,7 +19,7 @@ from quillbank.llm.exact_topk import exact_topk
 from quillbank.llm.media_columns import cosine_hash, decode_png, encode_png, image_features, padded, store_texts, unfilter
 from quillbank.llm.ngram_jaccard import jaccard_classes
 from quillbank.llm.perspective_chat import OP2_SQL, rotate_perspectives
-from quillbank.llm.quality_classifier import fit, score_quality, scores, train
+from quillbank.llm.quality_classifier import CHUNK, FILTERS, OVERLAP, STRIDE, WIDTH, fit, score_quality, scores, train
 from quillbank.llm.source_mixing import mix_sources, mixed_sizes, sainte_lague, shard_quotas, targets
 from quillbank.llm.substring_dedup import substring_dedup
 from quillbank.llm.token_counts import LongestMatch, token_counts
@@ -397,6 +397,35 @@ def test_quality_scores_of_long_texts_do_not_depend_on_parts():
     assert np.allclose(scores(net, data, bounds), scores(net, data, bounds, rows_at_once=7), atol=1e-6)
 
 
+def _plain_score(net, text):
+    """The network by its definition, one chunk and one window at a time."""
+    data = (text or "").encode()
+    responses = []
+    for start in range(0, max(1, len(data) - OVERLAP), CHUNK - OVERLAP):
+        chunk = [*data[start : start + CHUNK]]
+        chunk += [256] * (CHUNK - len(chunk))
+        best = np.full(FILTERS, -np.inf)
+        for at in range(0, CHUNK - WIDTH + 1, STRIDE):
+            shown = np.concatenate([net.table[b] for b in chunk[at : at + WIDTH]]).astype(np.float64)
+            best = np.maximum(best, shown @ net.filters.astype(np.float64))
+        responses.append(np.maximum(best + net.bias, 0))
+    pooled = np.concatenate([np.max(responses, axis=0), np.mean(responses, axis=0)])
+    return 1 / (1 + np.exp(-(pooled @ net.weights + net.offset)))
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    rng = random.Random(17)
+    net = train(["aaaa bbb" * 40, "ccc ddd!" * 40] * 8, [1, 0] * 8, epochs=2)
+    texts = {i: "".join(rng.choices("abcd !é漢", k=n)) for i, n in enumerate([0, 1, 7, 8, 9, 200, 247, 248, 249, 256, 257, 504, 505, 3000])}
+    texts[50], texts[51] = None, "some words and a bbb go here " * 25_000  # the last goes through Spark in parts
+    got = {r["doc_id"]: r["score"] for r in score_quality(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), net).collect()}
+    for i, t in texts.items():
+        if i != 51:
+            assert got[i] == pytest.approx(_plain_score(net, t), abs=1e-5)
+    data = np.frombuffer(texts[51].encode(), np.uint8)
+    assert got[51] == pytest.approx(float(scores(net, data, np.array([0, len(data)]), rows_at_once=10**6)[0]), abs=1e-5)
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(4)
     rows = []
