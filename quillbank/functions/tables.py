@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder; a folder of our own is set only where none is."""
+    """The same rows from the shared checkpoint folder, spark.checkpoint.dir; on a local master a temporary one will do."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillbank-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillbank-"))
     return df.checkpoint(eager=True)
 
 
