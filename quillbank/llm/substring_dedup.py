@@ -1,15 +1,12 @@
 """Substring deduplication: passages that an earlier document already has are cut out.
 
 Every window of `width` words gets a Rabin-Karp hash. A map task keeps, for each hash, the smallest doc_id it has
-seen (so one row for each window and task goes on, however often a passage occurs), packs the rest as 9 bytes a
+seen (so one row for each window and task goes on, however often a passage occurs), packs the rest as 8 bytes a
 window for a range of the hash space, and Spark deals those ranges to reducers, which find the smallest doc_id of
 each. A window of any other document is repeated; repeated windows merge into maximal intervals, and those words go.
 
-Only documents with a repeated window meet their marks: as long as their ids are at most MARKED, a broadcast of these
-tells which texts are dealt out and which stay where they are; beyond that all texts are dealt by doc_id.
-
-Two windows are one if 56 bits and the range of one hash and 16 bits of a second, independent one are the same: 80 bits
-from 64 shuffle partitions on, and more with more. Of n windows about n * n / 2**81 pairs are wrongly taken for one.
+Two windows are one if 56 bits and the range of one hash and 8 bits of a second, independent one are the same: 72 bits
+from 64 shuffle partitions on, 77 from 2048 on. Of n windows about n * n / 2**73 (2**78) pairs are wrongly taken for one.
 """
 
 from __future__ import annotations
@@ -25,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillbank.llm import _text
-from quillbank.llm._cluster import materialised, partitions
+from quillbank.llm._cluster import partitions
 
 WIDTH = 13
-MARKED = 2_000_000
 _KEPT_BYTES = 7
-_CHECK_BYTES = 2
+_CHECK_BYTES = 1
 _SECOND = np.uint64(0x6A09E667F3BCC909)
 _TEXT_LIMIT = 4 << 20
 _NEW = [T.StructField(x, k) for x, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))]
@@ -73,17 +69,15 @@ def _grouped(keys: np.ndarray, checks: np.ndarray, owners: np.ndarray) -> tuple[
     return least, first
 
 
-def _by_owner(owners: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """(owner, its keys, their checks), each window once."""
+def _by_owner(owners: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(owner, its keys), each key once."""
     if not len(owners):
         return
-    order = np.lexsort((checks, keys, owners))
-    owners, keys, checks = owners[order], keys[order], checks[order]
-    fresh = np.concatenate([[True], (owners[1:] != owners[:-1]) | (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])])
-    owners, keys, checks = owners[fresh], keys[fresh], checks[fresh]
+    order = np.argsort(owners, kind="stable")
+    owners, keys = owners[order], keys[order]
     cuts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
     for lo, hi in zip(cuts, [*cuts[1:], len(owners)], strict=True):
-        yield int(owners[lo]), keys[lo:hi].tobytes(), _text.packed_bytes(checks[lo:hi], _CHECK_BYTES)
+        yield int(owners[lo]), np.unique(keys[lo:hi]).tobytes()
 
 
 _SHAPE = "bucket int, doc_id long, keys binary, checks binary, owners binary, counts binary"
@@ -108,7 +102,7 @@ def _scan(width: int, buckets: int):
                 keys, checks, owners = _keys(hashes, buckets), _checks(words, width)[place], ids[text]
                 least, head = _grouped(keys, checks, owners)
                 later = owners > least
-                rows = [(doc % buckets, doc, packed, more, None, None) for doc, packed, more in _by_owner(owners[later], keys[later], checks[later])]
+                rows = [(doc % buckets, doc, packed, None, None, None) for doc, packed in _by_owner(owners[later], keys[later])]
                 keys, checks, owners, bucket = keys[head], checks[head], text[head], _text.bucket_of(hashes[head], buckets)
                 order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
                 keys, checks, owners, bucket = keys[order], checks[order], owners[order], bucket[order]
@@ -124,12 +118,12 @@ def _scan(width: int, buckets: int):
     return run
 
 
-_MARK = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("check", pa.int32())])
+_MARK = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def marks(owners: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys.view(np.int64)), pa.array(checks.astype(np.int32))], schema=_MARK)
+    def marks(owners: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys.view(np.int64))], schema=_MARK)
 
     def solved(bucket: int, parts: list[tuple[bytes, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         low = np.concatenate([_text.unpacked_bytes(k, _KEPT_BYTES) for k, _, _, _ in parts])
@@ -140,15 +134,14 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = np.flatnonzero(owners > least)
         for at in range(0, len(later), 1 << 16):
             part = later[at : at + (1 << 16)]
-            yield marks(owners[part], keys[part], checks[part])
+            yield marks(owners[part], keys[part])
 
     bucket, parts = None, []
     for batch in batches:
         known = batch.filter(pc.is_valid(batch.column("doc_id")))
         if known.num_rows:
             keys = [np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist()]
-            checks = [_text.unpacked_bytes(x, _CHECK_BYTES) for x in known.column("checks").to_pylist()]
-            yield marks(np.repeat(known.column("doc_id").to_numpy(), [len(x) for x in keys]), np.concatenate(keys), np.concatenate(checks))
+            yield marks(np.repeat(known.column("doc_id").to_numpy(), [len(x) for x in keys]), np.concatenate(keys))
         batch = batch.filter(pc.is_null(batch.column("doc_id")))
         for b, *row in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "checks", "owners", "counts")), strict=True):
             if b != bucket and parts:
@@ -161,14 +154,14 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
-    """(doc_id, key, check): each window of a document that also starts in one with a smaller doc_id.
+    """(doc_id, key): the key of each window of a document that also starts in one with a smaller doc_id.
 
     Also the number of hash ranges, which a later scan needs in order to form the same keys.
     """
     n = partitions(docs.sparkSession)
     buckets = min(4 * n, 1 << 20)
     found = docs.select("doc_id", "text").mapInArrow(_scan(width, buckets), _SHAPE)
-    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "doc_id long, key long, check int"), buckets
+    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "doc_id long, key long"), buckets
 
 
 def covered(length: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -179,22 +172,6 @@ def covered(length: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def marked(keys: np.ndarray, checks: np.ndarray, known: np.ndarray, known_checks: np.ndarray) -> np.ndarray:
-    """Places of the windows (key, check) that are among the known ones."""
-    order = np.lexsort((known_checks, known))
-    known, known_checks = known[order], known_checks[order]
-    at = np.searchsorted(known, keys)
-    out = np.zeros(len(keys), bool)
-    while True:  # more than once only where known keys repeat
-        inside = at < len(known)
-        here = np.minimum(at, len(known) - 1)
-        same = inside & (known[here] == keys)
-        out |= same & (known_checks[here] == checks)
-        at = at + 1
-        if not np.any(same & ~out):
-            return np.flatnonzero(out)
-
-
 def _cut(width: int, buckets: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,16 +179,16 @@ def _cut(width: int, buckets: int, with_text: bool):
                 data, bounds = _text.raw(batch.column("text"))
                 starts, ends, first = _text.spans(data, bounds)
                 flags = batch.column("marks")
-                mark = flags.offsets.to_numpy()
-                known_keys, known_checks = flags.values.field("key").to_numpy().view(np.uint64), flags.values.field("check").to_numpy().astype(np.uint64)
+                mark, known_keys = flags.offsets.to_numpy(), flags.values.to_numpy().view(np.uint64)
                 keep = np.ones(len(starts), bool)
                 some = np.flatnonzero((np.diff(mark) > 0) & (np.diff(first) >= width)).tolist()
                 words = _text.word_hashes(data, starts, ends) if some else None
                 for i in some:
                     lo, hi = int(first[i]), int(first[i + 1])
                     keys = _keys(_text.window_hashes(words[lo:hi], width), buckets)
-                    part = slice(mark[i], mark[i + 1])
-                    keep[lo:hi] = ~covered(hi - lo, marked(keys, _checks(words[lo:hi], width), known_keys[part], known_checks[part]), width)
+                    known = np.sort(known_keys[mark[i] : mark[i + 1]])  # of one document, so that 64 bits are enough
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    keep[lo:hi] = ~covered(hi - lo, np.flatnonzero(known[at] == keys), width)
                 at = np.flatnonzero(keep)
                 left = np.searchsorted(at, first)
                 kept, cuts = _text.joined(data, starts[at], ends[at], left)
@@ -226,7 +203,7 @@ def _cut(width: int, buckets: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = False, most_marked: int = MARKED) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row of `docs` (doc_id, text).
 
     If asked for, all columns of `docs` come too, and kept_text; columns with the names of new ones give way to them,
@@ -235,21 +212,12 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = Fa
     Each word covered by a window that also starts in a document with a smaller doc_id goes. Windows are judged on the
     input. The kept words are joined by one space. Null texts count as empty (no words, the digest of no bytes). A row
     whose doc_id is null neither removes nor loses words. Rows that repeat a doc_id are one document as to "smaller",
-    so copies under the same id do not remove each other. `most_marked` ids are broadcast at most; the result does not
-    depend on it.
+    so copies under the same id do not remove each other.
     """
     marks, buckets = repeated_windows(docs, width)
-    marks = materialised(marks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "check")).alias("marks")))
+    marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
     rows = docs.drop(*(f.name for f in _NEW), "marks") if with_columns else docs.select("doc_id", "text")
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    if marks.count() <= most_marked:
-        ids = F.broadcast(marks.select("doc_id"))
-        alone = rows.join(ids, "doc_id", "left_anti").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
-        # Marked texts go to their marks; a hint keeps Spark from sending all marks to every task.
-        joined = rows.join(ids, "doc_id", "left_semi").join(marks.hint("shuffle_merge"), "doc_id")
-        joined = joined.select(*alone.columns).unionByName(alone)
-    else:
-        joined = rows.join(marks, "doc_id", "left")
+    joined = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
     fields = [f for f in joined.schema.fields if f.name != "marks" and (with_columns or f.name != "text")]
     return joined.mapInArrow(_cut(width, buckets, with_columns), T.StructType([*fields, *_NEW[: 3 + with_columns]]))
 

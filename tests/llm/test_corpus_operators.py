@@ -349,13 +349,8 @@ def test_substring_dedup(docs, texts, empty):
     assert removed > 100
 
 
-def test_substring_dedup_does_not_depend_on_how_texts_meet_marks(docs):
-    few, all_ = ({(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(docs, most_marked=n).collect()} for n in (10**6, 0))
-    assert few == all_ and sum(r[2] for r in few) > 100
-
-
 def test_windows_of_one_key_are_told_apart_by_their_checks():
-    from quillbank.llm.substring_dedup import _grouped, marked
+    from quillbank.llm.substring_dedup import _grouped
 
     rng = np.random.default_rng(3)
     keys, checks, owners = (rng.integers(0, n, 400) for n in (20, 3, 9))
@@ -369,9 +364,6 @@ def test_windows_of_one_key_are_told_apart_by_their_checks():
             assert owners[i] == min(mine) and w not in seen
             seen.add(w)
     assert len(seen) == len(set(zip(keys.tolist(), checks.tolist())))
-    known, known_checks = keys[:9], checks[:9]
-    pairs = set(zip(known.tolist(), known_checks.tolist()))
-    assert marked(keys, checks, known, known_checks).tolist() == [i for i, w in enumerate(zip(keys.tolist(), checks.tolist())) if w in pairs]
 
 
 def test_quality_classifier_learns_and_survives_edges(spark, docs, empty):
