@@ -69,22 +69,24 @@ def near_pairs(questions: DataFrame, scope: Column | None = None, window: int =
 def best_match(probes: DataFrame, bank: DataFrame, window: int = WINDOW) -> DataFrame:
     """(probe_id, candidate, similarity, status): the most similar of each probe's `window` nearest lengths in the bank.
 
-    Both have (id, text, length), the bank also `updated`. Nearest: by length difference, latest change, id. Of equal
+    Both have (id, text, length), the bank also `updated`; a probe's question_id, if there is one, is no candidate. Nearest: by length difference, latest change, id. Of equal
     similarities the first in that order counts. status is suspected from SUSPECTED on, else none. Lengths are bounded
     by the number of compared code points, so their counts are one short row; of each length only the `window` latest
     rows can be candidates.
     """
+    wide = window + 1 if "question_id" in probes.columns else window
+    own = F.col("question_id") if "question_id" in probes.columns else F.lit(None).cast(bank.schema["id"].dataType)
     counts = bank.groupBy("length").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("length", "n")).alias("lengths"))
-    at = probes.select(F.col("id").alias("probe_id"), F.col("length").alias("probe_length")).crossJoin(F.broadcast(counts))
+    at = probes.select(F.col("id").alias("probe_id"), F.col("length").alias("probe_length"), own.alias("own")).crossJoin(F.broadcast(counts))
     far = F.array_sort(F.transform("lengths", lambda x: F.struct(F.abs(x["length"] - F.col("probe_length")).cast("long").alias("d"), x["n"].alias("n"))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"))
-    step = lambda a, x: F.when(a["n"] < window, F.struct((a["n"] + x["n"]).alias("n"), x["d"].alias("d"))).otherwise(a)
+    step = lambda a, x: F.when(a["n"] < wide, F.struct((a["n"] + x["n"]).alias("n"), x["d"].alias("d"))).otherwise(a)
     at = at.withColumn("radius", F.aggregate(far, start, step)["d"])
     close = F.filter("lengths", lambda x: F.abs(x["length"] - F.col("probe_length")) <= F.col("radius"))
-    at = at.select("probe_id", "probe_length", F.explode(F.transform(close, lambda x: x["length"])).alias("length"))
+    at = at.select("probe_id", "probe_length", "own", F.explode(F.transform(close, lambda x: x["length"])).alias("length"))
     order = Window.partitionBy("length").orderBy(F.desc("updated"), "id")
-    newest = bank.select("id", "length", "updated").withColumn("k", F.row_number().over(order)).where(F.col("k") <= window)
-    near = at.join(newest.select(F.col("id").alias("candidate"), "length", "updated"), "length")
+    newest = bank.select("id", "length", "updated").withColumn("k", F.row_number().over(order)).where(F.col("k") <= wide)
+    near = at.join(newest.select(F.col("id").alias("candidate"), "length", "updated"), "length").where(~F.col("candidate").eqNullSafe(F.col("own")))
     order = Window.partitionBy("probe_id").orderBy(F.abs(F.col("length") - F.col("probe_length")), F.desc("updated"), "candidate")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window)
     tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
@@ -182,6 +184,41 @@ def check_batch(items: DataFrame, bank: DataFrame, mode: str = "full", window: i
     )
 
 
+def check_drafts(drafts: DataFrame, bank: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(ordinal, status, candidate, similarity) of single drafts (ordinal, question_id, text, length, fingerprint).
+
+    The latest changed row of the bank with the same fingerprint counts first, the draft's own question aside; else the
+    most similar of the `window` nearest lengths, which is shown even where it is not suspected.
+    """
+    same = drafts.select("ordinal", "question_id", "fingerprint").join(bank.select("fingerprint", F.col("id").alias("same"), "updated"), "fingerprint")
+    same = same.where(~F.col("same").eqNullSafe(F.col("question_id"))).groupBy("ordinal")
+    latest = same.agg(F.min_by("same", F.struct((-F.col("updated")).alias("u"), "same")).alias("same"))
+    rest = drafts.join(latest, "ordinal", "left_anti")
+    # A row more, as the draft's own question is left out.
+    near = best_match(rest.select(F.col("ordinal").alias("id"), "text", "length", "question_id"), bank, window)
+    out = drafts.select("ordinal").join(latest, "ordinal", "left").join(near.withColumnRenamed("probe_id", "ordinal"), "ordinal", "left")
+    exact = F.col("same").isNotNull()
+    return out.select(
+        "ordinal",
+        F.when(exact, "exact").otherwise(F.coalesce("status", F.lit("none"))).alias("status"),
+        F.coalesce("same", "candidate").alias("candidate"),
+        F.when(exact, 100).otherwise(F.col("similarity")).cast("int").alias("similarity"),
+    )
+
+
+def ignore_outcomes(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """requests (left_id, right_id, left_version, right_version) with `outcome`: what becomes of the wish to ignore them.
+
+    versions (id, content_version, fingerprint). A pair whose versions are others by now, or of which a side is gone, is
+    refused, and so is one that is exact; the others are ignored for these versions.
+    """
+    side = lambda name: versions.select(F.col("id").alias(f"{name}_id"), F.col("content_version").alias(f"__{name}"), F.col("fingerprint").alias(f"__{name}_print"))
+    out = requests.join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
+    as_read = (F.col("__left") == F.col("left_version")) & (F.col("__right") == F.col("right_version"))
+    outcome = F.when(~F.coalesce(as_read, F.lit(False)), "versions differ").when(F.col("__left_print") == F.col("__right_print"), "exact").otherwise("ignored")
+    return out.withColumn("outcome", outcome).select(*requests.columns, "outcome")
+
+
 def without_ignored(pairs: DataFrame, versions: DataFrame, ignores: DataFrame) -> DataFrame:
     """Pairs (left_id, right_id) that are not ignored; an ignore holds only for the versions it was given for."""
     v = versions.select("id", "content_version")
@@ -205,3 +242,52 @@ def merged(questions: DataFrame, members: DataFrame, now_ms: int) -> DataFrame:
     hit = F.col("keeper").isNotNull()
     out = out.withColumn("content_version", F.when(hit, F.col("content_version") + 1).otherwise(F.col("content_version")))
     return out.withColumn("deleted_at_ms", F.when(hit & (F.col("keeper") != F.col("id")), F.lit(now_ms)).otherwise(F.col("deleted_at_ms"))).drop("keeper")
+
+
+def _mergeable(questions: DataFrame, requests: DataFrame) -> DataFrame:
+    """(id, group_id, keeper) of the groups of 2 to 500 distinct live members whose versions are all as read."""
+    versions = questions.select("id", "content_version", F.col("deleted_at_ms").isNull().alias("live"))
+    members = requests.select("group_id", "id", "expected_version").dropDuplicates(["group_id", "id"]).join(versions, "id", "left")
+    fine = F.coalesce(F.col("live") & (F.col("content_version") == F.col("expected_version")), F.lit(False))
+    groups = members.groupBy("group_id").agg(F.min(fine).alias("fine"), F.count("*").alias("n"), F.min("id").alias("keeper")).where("fine and n between 2 and 500")
+    return members.select("id", "group_id").join(groups.select("group_id", "keeper"), "group_id")
+
+
+def merge_checked(questions: DataFrame, requests: DataFrame, now_ms: int, most_tags: int = 100) -> DataFrame:
+    """questions (id, tags, content_version, deleted_at_ms) after the groups of requests (group_id, id, expected_version) merged.
+
+    A group merges as a whole or not at all: it needs 2 to 500 live members at the versions that were read, and at most
+    `most_tags` tags together. The smallest id keeps all tags, the others go to the bin, and all are a version on.
+    """
+    members = _mergeable(questions, requests)
+    tags = members.join(questions.select("id", "tags"), "id").groupBy("group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("__tags"))
+    members = members.join(tags.where(F.size("__tags") <= most_tags), "group_id").drop("group_id")
+    out = questions.join(members, "id", "left")
+    hit, keeps = F.col("keeper").isNotNull(), F.col("keeper") == F.col("id")
+    changed = {
+        "tags": F.when(hit & keeps, F.col("__tags")).otherwise(F.col("tags")),
+        "deleted_at_ms": F.when(hit & ~keeps, F.lit(now_ms)).otherwise(F.col("deleted_at_ms")),
+        "content_version": F.col("content_version") + hit.cast("int"),
+    }
+    return out.withColumns({c: x.cast(questions.schema[c].dataType) for c, x in changed.items()}).select(*questions.columns)
+
+
+def merge_undo_rows(questions: DataFrame, requests: DataFrame) -> DataFrame:
+    """What merge_undone() needs, from before the merge: (id, keeper, version_after, tags) of all members."""
+    members = _mergeable(questions, requests)
+    return members.join(questions.select("id", (F.col("content_version") + 1).alias("version_after"), "tags"), "id").select("id", "keeper", "version_after", "tags")
+
+
+def merge_undone(questions: DataFrame, undo: DataFrame) -> DataFrame:
+    """questions after merges are taken back, group by group: where no member has changed since. That is a version on."""
+    now = undo.join(questions.select("id", "content_version"), "id", "left")
+    same = F.min(F.coalesce(F.col("content_version") == F.col("version_after"), F.lit(False)))
+    fine = now.groupBy("keeper").agg(same.alias("fine")).where("fine")
+    back = undo.join(fine.select("keeper"), "keeper").select("id", F.col("tags").alias("__tags"), F.lit(True).alias("__hit"))
+    out = questions.join(back, "id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    changed = {
+        "tags": F.when(F.col("__hit"), F.col("__tags")).otherwise(F.col("tags")),
+        "deleted_at_ms": F.when(~F.col("__hit"), F.col("deleted_at_ms")),
+        "content_version": F.col("content_version") + F.col("__hit").cast("int"),
+    }
+    return out.withColumns({c: x.cast(questions.schema[c].dataType) for c, x in changed.items()}).select(*questions.columns)

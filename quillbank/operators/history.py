@@ -88,3 +88,31 @@ def repeated(df: DataFrame, key: list[str], rule: str) -> DataFrame:
     """(rule, violations): how many values of a key that should be unique are not."""
     several = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     return several.agg(F.lit(rule).alias("rule"), F.count("*").alias("violations"))
+
+
+def snapshots(questions: DataFrame, options: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(id, snapshot): each question (id, ...) as one JSON document, with its options by position and its tags in order."""
+    option = options.groupBy(F.col("question_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*(c for c in options.columns if c != "question_id")))).alias("options"))
+    tags = bridge.groupBy(F.col("question_id").alias("id")).agg(F.array_sort(F.collect_set("tag_id")).alias("tags"))
+    out = questions.join(option, "id", "left").join(tags, "id", "left")
+    none = {c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c, df in (("options", option), ("tags", tags))}
+    return out.withColumns(none).select("id", F.to_json(F.struct(*questions.columns, "options", "tags")).alias("snapshot"))
+
+
+def undo_counts(batches: DataFrame) -> DataFrame:
+    """(batch, items): the number of items in the JSON arrays of undo_json; what is no array counts as none."""
+    return batches.groupBy("batch").agg(F.sum(F.coalesce(F.json_array_length("undo_json"), F.lit(0))).cast("long").alias("items"))
+
+
+def pending_total(*kinds: DataFrame) -> DataFrame:
+    """One row: the number of all drafts of several kinds."""
+    out = None
+    for df in kinds:
+        n = df.agg(F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out.agg(F.sum("n").alias("pending"))
+
+
+def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Items whose key is not among the done ones."""
+    return items.join(done.select(key), key, "left_anti")

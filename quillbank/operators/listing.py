@@ -120,3 +120,35 @@ def hydrated(questions: DataFrame, options: DataFrame, bridge: DataFrame, tags:
     out = questions.join(option, "id", "left").join(named, "id", "left")
     empty = [F.array().cast(t.simpleString()) for t in (option.schema["options"].dataType, named.schema["tags"].dataType)]
     return out.withColumns({"options": F.coalesce("options", empty[0]), "tags": F.coalesce("tags", empty[1])})
+
+
+def with_names(questions: DataFrame, subjects: DataFrame, chapters: DataFrame, units: DataFrame, types: DataFrame) -> DataFrame:
+    """questions (subject_id, chapter_id, unit_id, question_type, ...) with the names of all four.
+
+    subjects (subject_id, name), chapters (chapter_id, name), units (unit_id, name), types (code, name). Questions whose
+    subject, chapter or type is not there are left out; an unknown or null unit has no name.
+    """
+    named = lambda df, key, to: df.select(F.col(key), F.col("name").alias(f"{to}_name"))
+    out = questions.join(named(subjects, "subject_id", "subject"), "subject_id").join(named(chapters, "chapter_id", "chapter"), "chapter_id")
+    out = out.join(named(units, "unit_id", "unit"), "unit_id", "left")
+    return out.join(named(types, "code", "type").withColumnRenamed("code", "question_type"), "question_type")
+
+
+def summaries(questions: DataFrame) -> DataFrame:
+    """questions for lists: stem_json with version, markup and plain text only; answer and explanation blank."""
+    html = F.coalesce(F.get_json_object("stem_json", "$.html"), F.lit(""))
+    stem = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), html.alias("html"), F.col("stem_plain").alias("plainText")))
+    return questions.withColumns({"stem_json": stem, "answer_json": F.lit(""), "explanation_json": F.lit("")})
+
+
+def stem_summaries(questions: DataFrame, ids: list, most: int = 32) -> DataFrame:
+    """(id, stem_plain, stem_html) of those of at most `most` distinct ids that are live."""
+    if len(ids) > most or len(set(ids)) != len(ids):
+        raise ValueError(f"at most {most} distinct ids")
+    found = questions.where(F.col("deleted_at_ms").isNull() & F.col("id").isin(*ids)) if ids else questions.where("false")
+    return found.select("id", "stem_plain", F.coalesce(F.get_json_object("stem_json", "$.html"), F.lit("")).alias("stem_html"))
+
+
+def after_key(df: DataFrame, key: str, last, size: int) -> DataFrame:
+    """The `size` rows that follow the key `last` (null: the first ones), in order of the key."""
+    return (df if last is None else df.where(F.col(key) > F.lit(last))).orderBy(key).limit(size)

@@ -57,3 +57,29 @@ def publications(local: DataFrame, published: DataFrame) -> DataFrame:
     both = local.withColumnRenamed("title", "local_title").join(shown.select("paper_id", F.col("title").alias("cloud_title"), F.lit(True).alias("cloud")), "paper_id", "full_outer")
     origin = F.when(F.col("cloud").isNull(), "local").when(F.col("local_title").isNull(), "cloud").otherwise("both")
     return both.select("paper_id", F.coalesce("cloud_title", "local_title", F.lit("")).alias("title"), F.coalesce("items", F.lit(0)).alias("items"), origin.alias("origin"))
+
+
+def replaced(items: DataFrame, wanted: DataFrame, types: DataFrame) -> DataFrame:
+    """items (paper_id, item_id, question_id, question_type, ...) with other questions in place of some.
+
+    wanted (paper_id, item_id, new_id) holds where the new question has the item's type in types (new_id, new_type), and
+    the paper has it in no item. Two items of a paper that ask for one question: the smaller item_id gets it.
+    """
+    asked = wanted.join(types, "new_id").join(items.select("paper_id", "item_id", "question_type"), ["paper_id", "item_id"])
+    asked = asked.where("new_type = question_type").join(items.select("paper_id", F.col("question_id").alias("new_id")), ["paper_id", "new_id"], "left_anti")
+    one = asked.groupBy("paper_id", "new_id").agg(F.min("item_id").alias("item_id"))
+    out = items.join(one, ["paper_id", "item_id"], "left")
+    return out.withColumn("question_id", F.coalesce("new_id", "question_id")).select(*items.columns)
+
+
+def recovery_saved(slots: DataFrame, saves: DataFrame) -> DataFrame:
+    """slots (owner, content, revision) after saves (owner, content, at): the latest of an owner stays, one revision for each."""
+    new = saves.groupBy("owner").agg(F.max_by("content", F.struct("at", "content")).alias("__content"), F.count("*").alias("__n"))
+    both = slots.join(new, "owner", "full_outer")
+    return both.select("owner", F.coalesce("__content", "content").alias("content"), (F.coalesce("revision", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("revision"))
+
+
+def recovery_cleared(slots: DataFrame, reads: DataFrame) -> DataFrame:
+    """slots after owners cleared what they had read: content goes where the revision (owner, revision) is still the same."""
+    out = slots.join(reads.select("owner", F.col("revision").alias("__read")), "owner", "left")
+    return out.withColumn("content", F.when(~F.coalesce(F.col("__read") == F.col("revision"), F.lit(False)), F.col("content"))).drop("__read")

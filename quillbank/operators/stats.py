@@ -43,6 +43,12 @@ def ranking(facts: DataFrame, keys: list[str]) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("questions"), *keys)))
 
 
+def unit_ranking(facts: DataFrame) -> DataFrame:
+    """(unit, questions, place): units of facts (chapter, unit); those without a unit are unassigned:<chapter>."""
+    unit = F.coalesce("unit", F.concat(F.lit("unassigned:"), F.coalesce(F.col("chapter").cast("string"), F.lit(""))))
+    return ranking(facts.select(unit.alias("unit")), ["unit"])
+
+
 def headline(facts: DataFrame, now, days: int) -> DataFrame:
     """One row: all, added and used in the last days, never used, and the share of those. Facts: created_at, last_used_at."""
     since = F.lit(now) - F.expr(f"INTERVAL {days} DAYS")

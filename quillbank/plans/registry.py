@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillbank.plans import edit_queries  # noqa: F401  (registers its queries)
+from quillbank.plans import content_queries, edit_queries  # noqa: F401  (register their queries)
 from quillbank.plans.bank_queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

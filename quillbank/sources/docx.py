@@ -180,18 +180,22 @@ def document_of(path: str, data: bytes) -> dict:
         return {"path": path, "paragraphs": [], "images": [], "formulas": [], "error": str(e)}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document at path, a file or a folder, with nested paragraphs, images and formulas."""
+def parsed(files: DataFrame) -> DataFrame:
+    """One row for each document in files (path, content), with nested paragraphs, images and formulas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("path"), batch.column("content"), strict=True):
                 yield pa.RecordBatch.from_pylist([document_of(p.as_py(), data.as_py())], schema=_ARROW)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
     return files.select("path", "content").mapInArrow(run, SHAPE)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """parsed() of every document at path, a file or a folder."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path))
+
+
 def document_parts(documents: DataFrame, part: str) -> DataFrame:
     """Rows of `paragraphs`, `images` or `formulas` with the document's path as doc_id."""
     return documents.select(F.col("path").alias("doc_id"), F.explode(part).alias("x")).select("doc_id", "x.*")
