@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +56,66 @@ def window_candidates(questions: DataFrame, scope: Column | None = None, window:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window).select("id", "candidate", "rank")
 
 
+def shared_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, sizes): how many bigrams each text has in common with each, repeats counted, and how many it has."""
+    tokens, owners = [], []
+    for i, text in enumerate(texts):
+        grams = Counter([text + "\0"] if len(text) == 1 else [text[k : k + 2] for k in range(len(text) - 1)])
+        mine = [(g, k) for g, n in grams.items() for k in range(n)]  # the k-th of a kind, so that bags are sets
+        tokens += mine
+        owners += [i] * len(mine)
+    sizes = np.bincount(owners, minlength=len(texts)) if owners else np.zeros(len(texts), int)
+    number: dict = {}
+    column = np.array([number.setdefault(t, len(number)) for t in tokens], np.int64)
+    owners, shared = np.array(owners, np.int64), np.zeros((len(texts), len(texts)))
+    order = np.argsort(column, kind="stable")
+    column, owners = column[order], owners[order]
+    for low in range(0, len(number), 4096):
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        m = np.zeros((len(texts), min(4096, len(number) - low)), np.float32)
+        m[owners[part], column[part] - low] = 1
+        shared += m @ m.T
+    return np.rint(shared).astype(np.int64), sizes
+
+
+def _near(window: int, least: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Suspected pairs of a block's own rows in scope with rows of this and the neighbouring blocks."""
+        shared, sizes = shared_grams(group["text"].fillna("").tolist())
+        length, position = group["length"].to_numpy(), group["position"].to_numpy()
+        latest = -group["updated"].rank(method="dense", na_option="bottom").to_numpy()
+        ids, prints = group["id"].tolist(), group["fingerprint"].tolist()
+        name = np.argsort(np.argsort(np.array(ids, dtype=object) if isinstance(ids[0], str) else np.array(ids), kind="stable"), kind="stable")
+        total = sizes[:, None] + sizes[None]
+        score = np.where((sizes[:, None] == 0) | (sizes[None] == 0), 0, np.minimum(100, (200 * shared + total // 2) // np.maximum(total, 1)))
+        found = []
+        for i in np.flatnonzero((group["own"] & group["in_scope"]).to_numpy()):
+            near = np.flatnonzero((np.abs(position - position[i]) <= window) & (position != position[i]))
+            near = near[np.lexsort((name[near], latest[near], np.abs(length[near] - length[i])))][:window]
+            for j in near[score[i][near] >= least]:
+                if prints[i] is None or prints[i] != prints[j]:
+                    a, b = sorted((ids[i], ids[j]))
+                    found.append((a, b, min(99, int(score[i][j]))))
+        return pd.DataFrame(found, columns=["left_id", "right_id", "similarity"])
+
+    return run
+
+
 def near_pairs(questions: DataFrame, scope: Column | None = None, window: int = WINDOW, least: int = SUSPECTED) -> DataFrame:
     """(left_id, right_id, similarity) of suspected duplicates: questions (id, text, length, updated, fingerprint).
 
-    A pair counts once, whichever of the two is in scope. Exact duplicates are left out; the similarity stops at 99.
+    Candidates are those of window_candidates(). They are compared where a block of `window` positions meets its two
+    neighbours, so only suspected pairs leave a task. A pair counts once, whichever of the two is in scope. Exact
+    duplicates are left out; the similarity stops at 99. Ids are distinct.
     """
-    found = window_candidates(questions, scope, window)
-    pairs = found.select(F.least("id", "candidate").alias("left_id"), F.greatest("id", "candidate").alias("right_id")).distinct()
-    prints = questions.select("id", "fingerprint")
-    pairs = pairs.join(prints.withColumnsRenamed({"id": "left_id", "fingerprint": "f1"}), "left_id").join(prints.withColumnsRenamed({"id": "right_id", "fingerprint": "f2"}), "right_id")
-    pairs = pairs.where(~F.col("f1").eqNullSafe(F.col("f2")) | F.col("f1").isNull()).drop("f1", "f2")
-    scored = pair_similarity(pairs, questions.select("id", "text"))
-    return scored.where(F.col("similarity") >= least).withColumn("similarity", F.least("similarity", F.lit(99)).cast("int"))
+    rows = questions.select("id", "text", "length", "updated", "fingerprint", (scope if scope is not None else F.lit(True)).alias("in_scope"))
+    placed = numbered(rows, [F.asc("length"), F.desc("updated"), F.asc("id")])
+    block = F.floor(F.col("position") / window)
+    dealt = placed.withColumn("__own", block).withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    dealt = dealt.withColumn("own", F.col("block") == F.col("__own")).drop("__own")
+    kind = questions.schema["id"].dataType.simpleString()
+    found = dealt.groupBy("block").applyInPandas(_near(window, least), f"left_id {kind}, right_id {kind}, similarity int")
+    return found.distinct()
 
 
 def best_match(probes: DataFrame, bank: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -215,7 +215,7 @@ def list_unassigned_unit(t):
     return listing.list_questions(_binned(t), listing.QuestionFilters(unassigned_unit=True, page_size=100)).select("id", "total")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_size = 7")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND p_size = 7")
 def list_unit(t):
     """One unit; together with the unassigned ones nothing is left."""
     none = listing.filtered(_binned(t), listing.QuestionFilters(unit=7, unassigned_unit=True)).select("id")
