@@ -17,11 +17,25 @@ SUSPECTED = 82
 
 
 def exact_groups(questions: DataFrame) -> DataFrame:
-    """(fingerprint, members, size) of questions (id, fingerprint, created) of which several are the same."""
+    """(fingerprint, members, size) of questions (id, fingerprint, created) of which several are the same.
+
+    A row holds all members of a group; exact_members() has a row for each instead, for groups of any size.
+    """
     members = F.transform(F.array_sort(F.collect_list(F.struct("created", "id"))), lambda x: x["id"])
     return questions.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(members.alias("members"), F.count("*").alias("size")).where(F.col("size") > 1)
 
 
+def exact_members(questions: DataFrame) -> DataFrame:
+    """(id, fingerprint, size, first): questions of which several are the same, and the first of each group by created, id.
+
+    Groups are pre-aggregated; their members never meet in one row or task, but for the shuffle of a join that Spark
+    splits where a group is large.
+    """
+    groups = questions.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint")
+    several = groups.agg(F.count("*").alias("size"), F.min(F.struct("created", "id"))["id"].alias("first")).where(F.col("size") > 1)
+    return questions.select("id", "fingerprint").join(several, "fingerprint").select("id", "fingerprint", "size", "first")
+
+
 def first_occurrence(items: DataFrame) -> DataFrame:
     """items (ordinal, fingerprint) with `first`, the ordinal of an earlier row of the same fingerprint, or null."""
     least = items.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("ordinal").alias("first"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbank.functions.tables import numbered
+
+SMALL_TABLE = 100_000  # keys that are broadcast; more are joined by shuffle
+
 
 def newest(df: DataFrame, key: list[str], order: list[Column], keep: int) -> DataFrame:
     """The `keep` newest rows of each key, with their place; what is beyond goes."""
@@ -12,8 +16,14 @@ def newest(df: DataFrame, key: list[str], order: list[Column], keep: int) -> Dat
 
 
 def beyond_retention(df: DataFrame, key: list[str], order: list[Column], keep: int) -> DataFrame:
-    """The rows that newest() leaves out."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("place") > keep)
+    """The rows that newest() leaves out, with their place. A key with most of all rows is not gathered in one task."""
+    placed = numbered(df, [*(F.asc_nulls_first(k) for k in key), *order], "__position")
+    start = placed.groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(F.min("__position").alias("__start"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = placed.join(F.broadcast(start) if start.count() <= SMALL_TABLE else start, same)
+    return out.withColumn("place", (F.col("__position") - F.col("__start") + 1).cast("int")).where(F.col("place") > keep).select(*df.columns, "place")
 
 
 def latest(df: DataFrame, key: list[str], by: list[str], columns: list[str]) -> DataFrame:

@@ -5,13 +5,16 @@ Files that a source reads are written by the query itself, from the test tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillbank.functions import rich, wording
 from quillbank.functions import text as T
-from quillbank.operators import dedup, exports, history, imports, listing, papers, recognition, stats
+from quillbank.functions.tables import shared_folder
+from quillbank.operators import bank, dedup, exports, history, imports, listing, papers, recognition, stats
 from quillbank.plans.bank_queries import query
-from quillbank.sources import docx, docx_writer, xlsx, xlsx_writer
+from quillbank.sources import archive, docx, docx_writer, xlsx, xlsx_writer
 
 _NONE = F.lit(None).cast("string")
 _OPTION_LIST = "array<string>"
@@ -428,6 +431,53 @@ def ignore_requests(t):
     return dedup.ignore_outcomes(asked, v).select("left_id", "right_id", "outcome")
 
 
+_PRINTED = "sha256('2;2;' || len(p_type) || ':' || p_type || len(s) || ':' || s || len(a) || ':' || a)"
+
+
+@query(f"""WITH prints AS (SELECT id, {_PRINTED} AS fingerprint FROM (SELECT p_partkey AS id, p_type, lower(replace(p_name, ' ', '')) AS s, lower(p_brand) AS a FROM part))
+    SELECT id, fingerprint, size, first FROM (SELECT *, count(*) OVER w AS size, min(id) OVER w AS first FROM prints WINDOW w AS (PARTITION BY fingerprint)) WHERE size > 1""")
+def exact_duplicate_members(t):
+    """Each question of which there are several, with the size and first of its group."""
+    prints = t("part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("created"), T.content_fingerprint(F.col("p_type"), [F.col("p_name"), F.col("p_brand")]).alias("fingerprint"))
+    return dedup.exact_members(prints)
+
+
+@query("""SELECT 'x' || n_nationkey AS code, upper(n_name) AS name, 'n' || n_nationkey AS taken_by FROM nation UNION ALL SELECT 'y', lower(r_name), CAST(r_regionkey AS VARCHAR) FROM region""")
+def type_names_of_types_taken(t):
+    """Wanted names against names of types (regions) and aliases (nations); a type may keep its own name."""
+    n, r = t("nation"), t("region")
+    types = r.select(F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name"))
+    aliases = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("code"), F.lower("n_name").alias("name"))
+    wanted = n.select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("code"), F.upper("n_name").alias("name")).union(r.select(F.lit("y"), F.lower("r_name"))).union(types)
+    return bank.taken_names(types, aliases, wanted)
+
+
+@query("SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size, p_name AS name FROM part")
+def backup_round_trip(t):
+    """A table written to a backup with a manifest, checked and restored."""
+    part = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"), F.col("p_name").alias("name"))
+    folder = f"{shared_folder(part.sparkSession)}/backup-{uuid.uuid4().hex}"
+    archive.create(part.sparkSession, {"part": part}, folder, 1)
+    return archive.restore(part.sparkSession, folder)["part"]
+
+
+@query("""WITH stems AS (SELECT p_partkey AS id, p_partkey AS updated, p_brand, lower(replace(p_name || p_brand || p_type || CAST(p_size AS VARCHAR), ' ', '')) AS text FROM part),
+    placed AS (SELECT *, len(text) AS length, row_number() OVER (ORDER BY len(text), updated DESC, id) AS p FROM stems),
+    near AS (SELECT a.id, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.length - b.length), b.updated DESC, b.id) AS k FROM placed a JOIN placed b ON a.id <> b.id AND b.p BETWEEN a.p - 256 AND a.p + 256
+             WHERE a.p_brand IN ('Brand#2', 'Brand#17', 'Brand#33')),
+    pairs AS (SELECT DISTINCT least(id, c) AS l, greatest(id, c) AS r FROM near WHERE k <= 256),
+    grams AS (SELECT id, substr(text, i, 2) AS gram, count(*) AS n FROM (SELECT id, text, unnest(range(1, len(text))) AS i FROM stems) GROUP BY 1, 2),
+    shared AS (SELECT l, r, sum(least(a.n, b.n)) AS s FROM pairs JOIN grams a ON a.id = l JOIN grams b ON b.id = r AND b.gram = a.gram GROUP BY 1, 2),
+    scored AS (SELECT l, r, x.text AS t1, y.text AS t2, least(100, (200 * s + (len(x.text) + len(y.text) - 2) // 2) // (len(x.text) + len(y.text) - 2)) AS v FROM shared JOIN stems x ON x.id = l JOIN stems y ON y.id = r)
+    SELECT l AS left_id, r AS right_id, CAST(least(v, 99) AS INTEGER) AS similarity FROM scored WHERE v >= 82 AND t1 <> t2""")
+def near_duplicate_scope(t):
+    """Suspected duplicates of the questions of some subjects, with partners from the whole bank."""
+    text = T.compared_text(F.concat("p_name", "p_brand", "p_type", F.col("p_size").cast("string")))
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("updated"), F.col("p_brand").alias("subject"), text.alias("text"))
+    rows = rows.withColumns({"length": F.length("text"), "fingerprint": F.sha2("text", 256)})
+    return dedup.near_pairs(rows, F.col("subject").isin("Brand#2", "Brand#17", "Brand#33"))
+
+
 _BANKED = "stems AS (SELECT p_partkey AS id, p_partkey AS updated, lower(replace(p_name || p_brand || p_type || CAST(p_size AS VARCHAR), ' ', '')) AS text FROM part), sized AS (SELECT *, len(text) AS length FROM stems)"
 _ITEMS = """items AS (SELECT s_suppkey AS ordinal, CASE WHEN s_suppkey % 4 = 0 THEN (SELECT text FROM stems WHERE id = s_suppkey) WHEN s_suppkey % 4 = 1 THEN 'copied' || s_suppkey // 8
     ELSE lower(replace('blue ' || s_name, ' ', '')) END AS text FROM supplier)"""
