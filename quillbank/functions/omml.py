@@ -64,13 +64,13 @@ class _Writer:
             case "f":
                 top, below = part("num"), part("den")
                 kind = _property(node, "type", "bar")
-                return rf"\binom{{{top}}}{{{below}}}" if kind == "noBar" else f"{{{top}}}/{{{below}}}" if kind in ("lin", "skw") else rf"\frac{{{top}}}{{{below}}}"
-            case "sSup":
-                return f"{{{part('e')}}}^{{{part('sup')}}}"
-            case "sSub":
-                return f"{{{part('e')}}}_{{{part('sub')}}}"
-            case "sSubSup":
-                return f"{{{part('e')}}}_{{{part('sub')}}}^{{{part('sup')}}}"
+                self.whole = self.whole and kind in ("bar", "noBar", "lin", "skw")
+                shapes = {"bar": rf"\frac{{{top}}}{{{below}}}", "noBar": rf"\genfrac{{}}{{}}{{0pt}}{{}}{{{top}}}{{{below}}}"}
+                return shapes.get(kind, f"{{{top}}}/{{{below}}}" if kind in ("lin", "skw") else "")
+            case "sSup" | "sSub" | "sSubSup":
+                base = part("e")
+                marks = [f"{mark}{{{part(key)}}}" for key, mark in (("sub", "_"), ("sup", "^")) if name != ("sSup" if key == "sub" else "sSub")]
+                return "".join([base if len(base) == 1 else f"{{{base}}}", *marks])
             case "sPre":
                 return f"{{}}_{{{part('sub')}}}^{{{part('sup')}}}{{{part('e')}}}"
             case "rad":

@@ -16,10 +16,13 @@ from quillbank.operators import bank, dedup, exports, history, imports, listing,
 from quillbank.plans.bank_queries import query
 from quillbank.sources import archive, docx, docx_writer, xlsx, xlsx_writer
 
-_NONE = F.lit(None).cast("string")
 _OPTION_LIST = "array<string>"
 
 
+def _none():
+    return F.lit(None).cast("string")
+
+
 def _strings(*values):
     return F.array(*(F.lit(x) for x in values)).cast(_OPTION_LIST)
 
@@ -30,7 +33,7 @@ def _bank(t):
         F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("question_id"), F.lit("short_answer").alias("question_type"), F.col("p_type").alias("type_name"),
         F.col("p_brand").alias("subject_name"), F.concat(F.lit("C"), size.cast("string")).alias("chapter_name"), F.when(size % 3 != 0, F.concat(F.lit("U"), size.cast("string"))).alias("unit_name"),
         F.concat(F.lit(" "), F.col("p_name")).alias("stem"), F.when(size % 2 == 1, F.array(F.concat(F.lit("x "), F.col("p_name")), F.col("p_brand"))).otherwise(F.array().cast(_OPTION_LIST)).alias("options"),
-        F.col("p_brand").alias("answer"), _NONE.alias("explanation"), F.split("p_type", " ").alias("tag_names"), F.lit(None).cast("long").alias("last_used_at_ms"),
+        F.col("p_brand").alias("answer"), _none().alias("explanation"), F.split("p_type", " ").alias("tag_names"), F.lit(None).cast("long").alias("last_used_at_ms"),
         (F.col("p_partkey") * 1000).alias("created_at_ms"), F.lit(0).cast("long").alias("updated_at_ms"),
     )
 
@@ -71,7 +74,7 @@ def import_names_resolved(t):
     joined = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = joined.select(
         F.col("s_suppkey").alias("id"), pick("单选题", " 判断题", "怪题", "简答题").alias("question_type"), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.lower("r_name")).alias("subject_name"),
-        F.when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.lower("n_name")).alias("chapter_name"), _NONE.alias("unit_name"),
+        F.when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.lower("n_name")).alias("chapter_name"), _none().alias("unit_name"),
         F.when(F.col("s_suppkey") % 3 > 0, _strings(" a ", "", "b")).otherwise(F.array().cast(_OPTION_LIST)).alias("options"), pick("b, A", "对", " t ", "t").alias("answer"),
     )
     subjects = t("region").select(F.col("r_regionkey").alias("subject_id"), F.col("r_name").alias("name"))
@@ -88,7 +91,7 @@ def _papers(t):
     return part.select(
         F.col("p_brand").alias("paper"), choice.cast("int").alias("last"), F.col("p_partkey").alias("k"), F.when(choice, "一、选择题").otherwise("二、简答题").alias("kind"), F.concat(F.lit("说"), F.col("p_name")).alias("stem"),
         F.when(choice, F.array(F.concat(F.lit("o"), F.col("p_partkey").cast("string")), F.lit("other"))).alias("options"), F.when(choice, F.when(F.col("p_partkey") % 3 == 0, "A").otherwise("B")).otherwise(F.concat(F.lit("z"), F.col("p_partkey").cast("string"))).alias("answer"),
-        _NONE.alias("explanation"), F.array().cast(_OPTION_LIST).alias("tag_names"),
+        _none().alias("explanation"), F.array().cast(_OPTION_LIST).alias("tag_names"),
     )
 
 
@@ -147,9 +150,9 @@ def rich_identity(t):
     odd = F.col("p_partkey") % 2 == 1
     name = F.when(odd, F.concat(F.upper("p_name"), F.lit("  "))).otherwise(F.concat(F.col("p_name"), F.lit(" ")))
     html = F.concat(F.lit("<p>"), name, F.lit("<b>"), F.col("p_brand"), F.lit("</b></p>"))
-    rows = t("part").select(F.col("p_partkey").alias("id"), "p_type", "p_name", "p_brand", rich.rich_parts(html, _NONE, _NONE).alias("x"), rich.rich_parts(_NONE, _NONE, F.lit("a")).alias("y"))
+    rows = t("part").select(F.col("p_partkey").alias("id"), "p_type", "p_name", "p_brand", rich.rich_parts(html, _none(), _none()).alias("x"), rich.rich_parts(_none(), _none(), F.lit("a")).alias("y"))
     known = F.create_map().cast("map<string,string>")
-    fields = [rich.content_identity(F.col(c), known, _NONE) for c in ("x", "y", "y")]
+    fields = [rich.content_identity(F.col(c), known, _none()) for c in ("x", "y", "y")]
     none = F.array().cast("array<struct<tokens:array<struct<kind:string,value:string>>,comparable:boolean>>")
     shown = F.trim(F.regexp_replace(F.lower(rich.search_text(F.col("x"))), r"\s+", " "))
     rows = rows.select("id", rich.rich_fingerprint(F.col("p_type"), none, fields).alias("print"), rich.all_comparable(none, fields).alias("comparable"), rich.has_content(F.col("x")).alias("content"), (shown == F.lower(F.concat_ws(" ", "p_name", "p_brand"))).alias("same"), F.concat_ws(" ", "p_name", "p_brand").alias("text"), shown.alias("shown"))

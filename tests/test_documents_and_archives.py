@@ -35,7 +35,10 @@ def e(t, name="e"):
     ("markup", "expected"),
     [
         (f"<m:f>{e('1', 'num')}{e('x', 'den')}</m:f>", r"\frac{1}{x}"),
-        (f"<m:sSup>{e('x')}{e('2', 'sup')}</m:sSup>", "{x}^{2}"),
+        (f"<m:sSup>{e('x')}{e('2', 'sup')}</m:sSup>", "x^{2}"),
+        (f"<m:sSubSup>{e('xy')}{e('1', 'sub')}{e('2', 'sup')}</m:sSubSup>", "{xy}_{1}^{2}"),
+        (f"<m:f><m:fPr><m:type m:val='noBar'/></m:fPr>{e('5', 'num')}{e('2', 'den')}</m:f>", r"\genfrac{}{}{0pt}{}{5}{2}"),
+        (f"<m:f><m:fPr><m:type m:val='skw'/></m:fPr>{e('5', 'num')}{e('2', 'den')}</m:f>", "{5}/{2}"),
         (f"<m:rad><m:radPr><m:degHide m:val='1'/></m:radPr><m:deg/>{e('x')}</m:rad>", r"\sqrt{x}"),
         (f"<m:rad>{e('3', 'deg')}{e('x')}</m:rad>", r"\sqrt[3]{x}"),
         (f"<m:nary><m:naryPr><m:chr m:val='∑'/></m:naryPr>{e('i', 'sub')}{e('n', 'sup')}{e('i')}</m:nary>", r"\sum_{i}^{n} i"),
@@ -51,6 +54,7 @@ def test_formulas(markup, expected):
 
 def test_unknown_formula_parts():
     assert math("<m:odd/>" + r("x")) == ("x", False)
+    assert math(f"<m:f><m:fPr><m:type m:val='odd'/></m:fPr>{e('5', 'num')}{e('2', 'den')}</m:f>{r('y')}") == ("y", False)
 
 
 def package(path, inner, media=b"pixels"):
