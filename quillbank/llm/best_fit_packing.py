@@ -49,23 +49,36 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Token ids of words, which this vocabulary gives independently of each other, with the latest words held."""
+    """Token ids of words, which this vocabulary gives independently of each other.
+
+    At most about _WORDS_HELD words are held between batches, those that came in most of them first.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all words."""
         self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+
+    def shrink(self) -> None:
+        """Forget words that came once, and then the least used, until half of the room is free."""
+        keep = np.argsort(-self.uses, kind="stable")[: _WORDS_HELD // 2]
+        keep = np.sort(keep[self.uses[keep] > 1])
+        hashes = np.empty(len(self.at), np.uint64)
+        hashes[self.at] = self.hashes
+        sizes = np.diff(self.begin)[keep]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = self.ids[np.arange(begin[-1]) + np.repeat(self.begin[:-1][keep] - begin[:-1], sizes)]
+        self.begin, self.uses, hashes = begin, self.uses[keep] // 2 + 1, hashes[keep]
+        self.at = np.argsort(hashes)
+        self.hashes = hashes[self.at]
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word its number among those held, of which the ids are ids[begin[number] : begin[number + 1]]."""
         hashes = _text.word_hashes(data, starts, ends)
         unique, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.begin) > _WORDS_HELD:
-            self.clear()
+            self.shrink()
         place = np.searchsorted(self.hashes, unique)
         known = place < len(self.hashes)
         known[known] = self.hashes[place[known]] == unique[known]
@@ -82,7 +95,16 @@ class WordIds:
             merged = np.concatenate([self.hashes, unique[new]])
             order = np.argsort(merged)
             self.hashes, self.at = merged[order], np.concatenate([self.at, number])[order]
-        return self.at[np.searchsorted(self.hashes, unique)][inverse]
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        numbers = self.at[np.searchsorted(self.hashes, unique)]
+        self.uses[numbers] += 1
+        return numbers[inverse]
+
+
+@lru_cache(maxsize=1)
+def held_words(path: str) -> WordIds:
+    """The words that this Python worker holds, from one task to the next."""
+    return WordIds(path)
 
 
 def document_ids(held: WordIds, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +122,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     shape = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = WordIds(path)
+        held = held_words(path)
         for whole in batches:
             for batch in _text.sub_batches(whole, "text", _TEXT_LIMIT):
                 ids, bounds = document_ids(held, batch.column("text"))

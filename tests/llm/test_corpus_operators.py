@@ -697,6 +697,23 @@ def test_plan_packing_places_every_piece_once():
         plan_packing({0: 1})
 
 
+def test_held_words_are_forgotten_by_use_and_ids_stay_right(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillbank.llm import best_fit_packing
+
+    monkeypatch.setattr(best_fit_packing, "_WORDS_HELD", 60)
+    rng, tokenizer = random.Random(22), Tokenizer.from_file(vocabulary_path())
+    held = best_fit_packing.WordIds(vocabulary_path())
+    for _ in range(12):
+        texts = [" ".join(["the", "of", *(f"w{rng.randrange(200)}é" for _ in range(rng.randint(0, 30)))]) for _ in range(3)] + [None, "", " "]
+        ids, bounds = best_fit_packing.document_ids(held, pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert len(held.at) == len(held.uses) == len(held.begin) - 1 < 200 and held.uses.max() > 3
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
