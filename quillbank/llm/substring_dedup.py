@@ -215,7 +215,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = Fa
     so copies under the same id do not remove each other.
     """
     marks, buckets = repeated_windows(docs, width)
-    marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
+    marks = marks.repartition(partitions(docs.sparkSession), "doc_id").groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
     rows = docs.drop(*(f.name for f in _NEW), "marks") if with_columns else docs.select("doc_id", "text")
     joined = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
     fields = [f for f in joined.schema.fields if f.name != "marks" and (with_columns or f.name != "text")]
