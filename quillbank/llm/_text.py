@@ -37,18 +37,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sub_batches(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most `limit` bytes of text each, or of one row if that is longer."""
-    text = batch.column(column)
-    size = np.diff(np.concatenate([[0], np.cumsum(np.nan_to_num(pc.binary_length(text).to_numpy(False)).astype(np.int64))]))
-    ends, start = np.cumsum(size), 0
-    while start < len(size):
+def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of rows that have at most `limit` bytes together, or of one row if that has more."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
-        yield batch.slice(start, stop - start)
+        yield start, stop
         start = stop
 
 
+def sub_batches(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `limit` bytes of text each, or of one row if that is longer."""
+    for lo, hi in slices(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(False)).astype(np.int64), limit):
+        yield batch.slice(lo, hi - lo)
+
+
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and the n + 1 bounds; a null is empty."""
     text = text.cast(pa.large_string()).fill_null("")

@@ -1,9 +1,10 @@
 """Substring deduplication: passages that an earlier document already has are cut out.
 
 Every window of `width` words gets a Rabin-Karp hash. A map task keeps, for each hash, the smallest doc_id it has
-seen (so one row for each window and task goes on, however often a passage occurs), packs the rest as 8 bytes a
+seen in some megabytes of text (so one entry for each window of these goes on, however often a passage occurs), packs the rest as 8 bytes a
 window for a range of the hash space, and Spark deals those ranges to reducers, which find the smallest doc_id of
 each. A window of any other document is repeated; repeated windows merge into maximal intervals, and those words go.
+Texts meet the keys of their repeated windows in a join by doc_id, for which they are compressed one by one.
 
 Two windows are one if 56 bits and the range of one hash and 8 bits of a second, independent one are the same: 72 bits
 from 64 shuffle partitions on, 77 from 2048 on. Of n windows about n * n / 2**73 (2**78) pairs are wrongly taken for one.
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,33 +174,52 @@ def covered(length: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames, which say how long the text is; nulls stay."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for whole in batches:
+        for batch in _text.sub_batches(whole, "text", _TEXT_LIMIT):
+            frames = [None if x is None else pack(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(frames, pa.binary()))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _pack() was given, in batches of at most _TEXT_LIMIT bytes of text, or of one row if that is longer."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        frames = whole.column("text").to_pylist()
+        sizes = np.array([0 if x is None else zstandard.frame_content_size(x) for x in frames], np.int64)
+        for lo, hi in _text.slices(sizes, _TEXT_LIMIT):
+            texts = [None if x is None else unpack(x) for x in frames[lo:hi]]
+            yield whole.slice(lo, hi - lo).set_column(whole.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
+
+
 def _cut(width: int, buckets: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _text.sub_batches(whole, "text", _TEXT_LIMIT):
-                data, bounds = _text.raw(batch.column("text"))
-                starts, ends, first = _text.spans(data, bounds)
-                flags = batch.column("marks")
-                mark, known_keys = flags.offsets.to_numpy(), flags.values.to_numpy().view(np.uint64)
-                keep = np.ones(len(starts), bool)
-                some = np.flatnonzero((np.diff(mark) > 0) & (np.diff(first) >= width)).tolist()
-                words = _text.word_hashes(data, starts, ends) if some else None
-                for i in some:
-                    lo, hi = int(first[i]), int(first[i + 1])
-                    keys = _keys(_text.window_hashes(words[lo:hi], width), buckets)
-                    known = np.sort(known_keys[mark[i] : mark[i + 1]])  # of one document, so that 64 bits are enough
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    keep[lo:hi] = ~covered(hi - lo, np.flatnonzero(known[at] == keys), width)
-                at = np.flatnonzero(keep)
-                left = np.searchsorted(at, first)
-                kept, cuts = _text.joined(data, starts[at], ends[at], left)
-                texts = [kept[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-                total = np.diff(first)
-                names = [f.name for f in batch.schema if f.name != "marks" and (with_text or f.name != "text")]
-                arrays = [batch.column(x) for x in names] + [pa.array(total, pa.int64()), pa.array(total - np.diff(left), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
-                if with_text:
-                    arrays.append(pa.array([x.decode() for x in texts], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
+        for batch in _unpacked(batches):
+            data, bounds = _text.raw(batch.column("text"))
+            starts, ends, first = _text.spans(data, bounds)
+            flags = batch.column("marks")
+            mark, known_keys = flags.offsets.to_numpy(), flags.values.to_numpy().view(np.uint64)
+            keep = np.ones(len(starts), bool)
+            some = np.flatnonzero((np.diff(mark) > 0) & (np.diff(first) >= width)).tolist()
+            words = _text.word_hashes(data, starts, ends) if some else None
+            for i in some:
+                lo, hi = int(first[i]), int(first[i + 1])
+                keys = _keys(_text.window_hashes(words[lo:hi], width), buckets)
+                known = np.sort(known_keys[mark[i] : mark[i + 1]])  # of one document, so that 64 bits are enough
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                keep[lo:hi] = ~covered(hi - lo, np.flatnonzero(known[at] == keys), width)
+            at = np.flatnonzero(keep)
+            left = np.searchsorted(at, first)
+            kept, cuts = _text.joined(data, starts[at], ends[at], left)
+            texts = [kept[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            total = np.diff(first)
+            names = [f.name for f in batch.schema if f.name != "marks" and (with_text or f.name != "text")]
+            arrays = [batch.column(x) for x in names] + [pa.array(total, pa.int64()), pa.array(total - np.diff(left), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+            if with_text:
+                arrays.append(pa.array([x.decode() for x in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
     return run
 
@@ -217,8 +238,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = Fa
     marks, buckets = repeated_windows(docs, width)
     marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
     rows = docs.drop(*(f.name for f in _NEW), "marks") if with_columns else docs.select("doc_id", "text")
-    joined = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(marks, "doc_id", "left")
-    fields = [f for f in joined.schema.fields if f.name != "marks" and (with_columns or f.name != "text")]
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType, True) for f in rows.schema.fields])
+    joined = rows.mapInArrow(_pack, packed).join(marks, "doc_id", "left")
+    fields = [rows.schema[c] for c in joined.columns if c != "marks" and (with_columns or c != "text")]
     return joined.mapInArrow(_cut(width, buckets, with_columns), T.StructType([*fields, *_NEW[: 3 + with_columns]]))
 
 

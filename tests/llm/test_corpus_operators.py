@@ -349,6 +349,16 @@ def test_substring_dedup(docs, texts, empty):
     assert removed > 100
 
 
+def test_substring_dedup_keeps_columns_where_they_are_and_long_texts_whole(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [("x", " ".join(words), 1, 0.5), ("y", "new " + " ".join(words[1000:2000]) + " end", 2, None), (None, "a " * 2_000_000, 3, 1.0), ("z", "", 4, 1.0), ("n", None, 5, 1.0), ("same id", " ".join(words[:20]), 1, 0.0), ("no id", " ".join(words[:20]), None, 0.0)]
+    df = spark.createDataFrame(rows, "source string, text string, doc_id long, marks double")
+    got = {r["source"]: r for r in substring_dedup(df, with_columns=True).collect()}
+    assert {k: (r["doc_id"], r["text"]) for k, r in got.items()} == {s: (i, t) for s, t, i, _ in rows}
+    assert {k: r["n_removed"] for k, r in got.items()} == {"x": 0, "y": 1000, None: 0, "z": 0, "n": 0, "same id": 0, "no id": 0}
+    assert got["y"]["kept_text"] == "new end" and got["n"]["kept_text"] == "" and got[None]["n_words"] == 2_000_000
+
+
 def test_windows_of_one_key_are_told_apart_by_their_checks():
     from quillbank.llm.substring_dedup import _grouped
 
