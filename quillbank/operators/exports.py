@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbank.functions.tables import numbered
@@ -51,3 +51,46 @@ def export_rows(questions: DataFrame, order: list[Column]) -> DataFrame:
     rows = numbered(questions, order, "__row")
     texts = [F.coalesce(cell_text(cells.get(c, F.col(c)), suffix=CUT), F.lit("")).alias(c) for c in HEADINGS if c != "row_number"]
     return rows.select((F.col("__row") + 1).alias("row_number"), *texts)
+
+
+MESSAGE_LIMIT = 2000
+
+
+def export_runs(started: DataFrame, finished: DataFrame) -> DataFrame:
+    """The state of each export in started (run_id, ...) after finished (run_id, finished_at_ms, error_code, error_message, output_byte_size).
+
+    A run is running until its first end in time (of several at once: without an error, then by code, message and size)
+    and keeps that state; `refused` counts the later ends. An end with an error code has failed and has no size; its
+    message is cut at 2,000 characters. Ends of unknown runs are left out.
+    """
+    end = F.struct("finished_at_ms", "error_code", F.left("error_message", F.lit(MESSAGE_LIMIT)).alias("error_message"), "output_byte_size")
+    ends = finished.groupBy("run_id").agg(F.min(end).alias("__end"), F.count("*").alias("__ends"))
+    both = started.join(ends, "run_id", "left")
+    status = F.when(F.col("__end").isNull(), "running").when(F.col("__end.error_code").isNotNull(), "failed").otherwise("succeeded")
+    size = F.when(status == "succeeded", F.col("__end.output_byte_size"))
+    known = {c: F.col(f"__end.{c}") for c in ("finished_at_ms", "error_code", "error_message")}
+    refused = F.greatest(F.coalesce("__ends", F.lit(0)) - 1, F.lit(0))
+    return both.withColumns({"status": status, **known, "output_byte_size": size, "refused": refused}).drop("__end", "__ends")
+
+
+def save_bank(rows: DataFrame, kind: str, folder: str) -> None:
+    """Writes export rows to a new folder as csv, json or parquet, in order of row_number; csv has the headings.
+
+    Workbooks come from xlsx_writer, as each is a file of its own.
+    """
+    ordered = rows.orderBy("row_number")
+    if kind == "csv":
+        named = ordered.select(*(F.col(c).alias(h) for c, h in HEADINGS.items()))
+        named.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    elif kind in ("json", "parquet"):
+        ordered.write.format(kind).save(folder)
+    else:
+        raise ValueError("csv, json or parquet")
+
+
+def saved_bank(spark: SparkSession, kind: str, folder: str) -> DataFrame:
+    """What save_bank() has written, under the names of the columns; csv does not tell blank cells from nulls, so they are blank."""
+    if kind != "csv":
+        return spark.read.schema(", ".join(f"{c} {'bigint' if c == 'row_number' else 'string'}" for c in HEADINGS)).format(kind).load(folder)
+    found = spark.read.csv(folder, header=True, escape='"', multiLine=True)
+    return found.select(*(F.col(h).cast("long").alias(c) if c == "row_number" else F.coalesce(F.col(h), F.lit("")).alias(c) for c, h in HEADINGS.items()))

@@ -126,3 +126,10 @@ def pending_total(*kinds: DataFrame) -> DataFrame:
 def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Items whose key is not among the done ones."""
     return items.join(done.select(key), key, "left_anti")
+
+
+def recent(batches: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
+    """The `most` latest batches (batch_id, created_at_ms) with their numbers of items (batch_id); ties to the larger id."""
+    found = batches.orderBy(F.desc_nulls_last("created_at_ms"), F.desc("batch_id")).limit(most)
+    counts = items.groupBy("batch_id").agg(F.count("*").alias("items"))
+    return found.join(counts, "batch_id", "left").withColumn("items", F.coalesce("items", F.lit(0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -87,10 +88,13 @@ def list_questions(questions: DataFrame, filters: QuestionFilters, bridge: DataF
 
 
 def list_papers(papers: DataFrame, items: DataFrame, status: str | None = None, title: str = "", page: int = 1, page_size: int = 100) -> DataFrame:
-    """A page of papers with their item counts, saved ones by when they were saved, others by their last change."""
+    """A page of papers with their item counts, saved ones by when they were saved, others by their last change.
+
+    A title is looked for in its compatibility-normalised form.
+    """
     out = papers if status is None else papers.where(F.col("paper_status") == status)
     if title.strip():
-        out = out.where(matches_keyword([F.col("title")], title))
+        out = out.where(matches_keyword([F.col("title")], unicodedata.normalize("NFKC", title)))
     counts = items.groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("item_count"))
     when = F.when(F.col("paper_status") == "saved", F.col("saved_at")).otherwise(F.col("updated_at"))
     found = paged(out, [when.desc_nulls_last(), F.asc("id")], page, page_size, 500)
@@ -111,6 +115,14 @@ def missing_ids(df: DataFrame, ids: list) -> DataFrame:
     return wanted.join(df.select("id"), "id", "left_anti")
 
 
+def with_resources(questions: DataFrame, references: DataFrame) -> DataFrame:
+    """Questions with the array `resources` of their references (question_id, node_id, resource_id, slot, option_id)."""
+    one = F.struct("node_id", "resource_id", "slot", "option_id")
+    found = references.groupBy(F.col("question_id").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("resources"))
+    empty = F.array().cast(found.schema["resources"].dataType.simpleString())
+    return questions.join(found, "id", "left").withColumn("resources", F.coalesce("resources", empty))
+
+
 def hydrated(questions: DataFrame, options: DataFrame, bridge: DataFrame, tags: DataFrame) -> DataFrame:
     """Questions with arrays of their options (by position) and tags (by name, each with its number of questions)."""
     option = options.groupBy(F.col("question_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("options"))

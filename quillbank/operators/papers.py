@@ -83,3 +83,10 @@ def recovery_cleared(slots: DataFrame, reads: DataFrame) -> DataFrame:
     """slots after owners cleared what they had read: content goes where the revision (owner, revision) is still the same."""
     out = slots.join(reads.select("owner", F.col("revision").alias("__read")), "owner", "left")
     return out.withColumn("content", F.when(~F.coalesce(F.col("__read") == F.col("revision"), F.lit(False)), F.col("content"))).drop("__read")
+
+
+def with_items(papers: DataFrame, items: DataFrame) -> DataFrame:
+    """papers (paper_id, ...) with the array `items` of their items (paper_id, position, question_id), by position."""
+    found = items.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("position", "question_id"))).alias("items"))
+    empty = F.array().cast(found.schema["items"].dataType.simpleString())
+    return papers.join(found, "paper_id", "left").withColumn("items", F.coalesce("items", empty))

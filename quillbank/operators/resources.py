@@ -47,12 +47,13 @@ def backups_due(settings: DataFrame, records: DataFrame, now_ms: int) -> DataFra
     return out.withColumn("next_due_ms", due).withColumn("due", F.col("next_due_ms") <= now_ms)
 
 
-def summary(questions: DataFrame, papers: DataFrame, resources: DataFrame) -> DataFrame:
-    """One row: live questions, saved papers, ready resources."""
+def summary(questions: DataFrame, papers: DataFrame, resources: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """One row: live questions, saved papers, ready resources, and templates where they are given."""
     live = questions.agg(F.count_if(F.col("deleted_at_ms").isNull()).alias("live_questions"))
     saved = papers.agg(F.count_if(F.col("paper_status") == "saved").alias("saved_papers"))
     ready = resources.agg(F.count_if(F.col("availability_status") == "ready").alias("ready_resources"))
-    return live.crossJoin(saved).crossJoin(ready)
+    out = live.crossJoin(saved).crossJoin(ready)
+    return out if templates is None else out.crossJoin(templates.agg(F.count("*").alias("templates")))
 
 
 def audit_rows(changes: DataFrame, action: str, entity_type: str, now_ms: int) -> DataFrame:

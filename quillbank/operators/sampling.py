@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 MOST = 1000
 
 
-def draw_scope(questions: DataFrame, bridge: DataFrame | None = None, subjects=(), chapters=(), units=(), tags=(), tag_mode="any", excluded=()) -> DataFrame:
-    """Questions in the given subjects, chapters, units and tags (none: any), without the excluded ids."""
-    from quillbank.operators.listing import tagged
+def draw_scope(questions: DataFrame, bridge: DataFrame | None = None, subjects=(), chapters=(), units=(), tags=(), tag_mode="any", excluded=(), usage="all", usage_cutoff=None) -> DataFrame:
+    """Questions in the given subjects, chapters, units and tags (none: any) with that use, without the excluded ids.
+
+    excluded is a list of ids, or a table (id) of any size; a null id excludes nothing.
+    """
+    from quillbank.operators.listing import tagged, usage_condition
 
     out = questions
     for column, values in (("subject", subjects), ("chapter", chapters), ("unit", units)):
         if values:
             out = out.where(F.col(column).isin(*values))
-    if excluded:
+    if isinstance(excluded, DataFrame):
+        out = out.join(excluded.select("id"), "id", "left_anti")
+    elif excluded:
         out = out.where(~F.col("id").isin(*excluded))
+    if usage != "all":
+        out = out.where(usage_condition(usage, usage_cutoff))
     return tagged(out, bridge, tuple(tags), tag_mode) if tags else out
 
 

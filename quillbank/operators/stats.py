@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbank.functions.tables import numbered
 from quillbank.functions.text import percent_text
 
 
@@ -67,3 +68,8 @@ def taxonomy_tree(subjects: DataFrame, chapters: DataFrame) -> DataFrame:
     inner = chapters.groupBy("subject_id").agg(F.array_sort(F.collect_list("chapter")).alias("chapters"))
     out = subjects.join(inner, "subject_id", "left")
     return out.withColumn("chapters", F.coalesce("chapters", F.array().cast("array<string>")))
+
+
+def in_order(dimension: DataFrame) -> DataFrame:
+    """dimension (id, sort_order, ...) with the place of each row, from 1, by sort_order and id (nulls first)."""
+    return numbered(dimension, [F.asc("sort_order"), F.asc("id")], "place").withColumn("place", F.col("place") + 1)
