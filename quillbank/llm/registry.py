@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 from quillbank.llm.best_fit_packing import op10_best_fit_packing
+from quillbank.llm.code_compression import OP11_SQL, op11_code_compression
 from quillbank.llm.exact_topk import op6_exact_topk
+from quillbank.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from quillbank.llm.media_columns import op1_media_columns
+from quillbank.llm.near_vectors import OP12_SQL, op12_near_vectors
 from quillbank.llm.ngram_jaccard import op3_ngram_jaccard
 from quillbank.llm.perspective_chat import OP2_SQL, op2_perspective_chat
 from quillbank.llm.quality_classifier import op4_quality_classifier
@@ -25,7 +28,16 @@ QUERIES = {
     "op8_wrapper_induction": op8_wrapper_induction,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_code_compression": op11_code_compression,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {**({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}), "op2_perspective_chat": OP2_SQL}
+ORACLE_SQL = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+    "op2_perspective_chat": OP2_SQL,
+    "op11_code_compression": OP11_SQL,
+    "op12_near_vectors": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
+}
