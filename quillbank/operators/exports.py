@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbank.functions.tables import numbered
 from quillbank.functions.text import cell_text, option_lines, utc_text
+from quillbank.sources import docx_writer, xlsx_writer
+from quillbank.sources.committed_files import save_files
 
 #: Fixed value: what ends a text that a cell cannot hold whole.
 CUT = "…（内容已截断）"
@@ -73,24 +75,74 @@ def export_runs(started: DataFrame, finished: DataFrame) -> DataFrame:
     return both.withColumns({"status": status, **known, "output_byte_size": size, "refused": refused}).drop("__end", "__ends")
 
 
-def save_bank(rows: DataFrame, kind: str, folder: str) -> None:
-    """Writes export rows to a new folder as csv, json or parquet, in order of row_number; csv has the headings.
+ROWS_EACH = 20_000
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-    Workbooks come from xlsx_writer, as each is a file of its own.
+
+def _joined(rows: DataFrame, line: Column, rows_each: int, first: str | None = None) -> DataFrame:
+    """(book, content): the lines of at most rows_each rows, in order of row_number, each with its end."""
+    book = F.floor((F.col("row_number") - 1) / rows_each).alias("book")
+    lines = rows.groupBy(book).agg(F.array_sort(F.collect_list(F.struct("row_number", line.alias("line")))).alias("x"))
+    whole = F.transform("x", lambda x: F.concat(x["line"], F.lit("\n")))
+    return lines.select("book", F.array_join(F.concat(F.array(F.lit(first)), whole) if first else whole, "").alias("content"))
+
+
+def document_rows(rows: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
+    """(document, position, line) of export rows, a document for at most rows_each of them.
+
+    A heading stands where subject or chapter is another than in the row before; blank parts have no line.
+    """
+    book = F.floor((F.col("row_number") - 1) / rows_each)
+    w = Window.partitionBy(book).orderBy("row_number")
+    place = F.struct("subject_name", "chapter_name")
+    starts = ~F.lag(place).over(w).eqNullSafe(place)
+    heading = F.when(F.col("__starts"), F.concat_ws(" / ", *(F.when(F.col(c) != "", F.col(c)) for c in ("subject_name", "chapter_name"))))
+    named = lambda mark, c: F.when(F.col(c) != "", F.concat(F.lit(mark), F.col(c)))
+    first = F.concat(F.col("row_number").cast("string"), F.lit(". "), F.col("stem"))
+    options = F.when(F.col("options") != "", F.split("options", "\n")).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(heading, first), options, F.array(named("标签：", "tags"), named("【答案】", "answer"), named("【解析】", "explanation")))
+    out = rows.withColumn("__starts", starts).select(book.cast("string").alias("document"), "row_number", F.posexplode(lines).alias("__k", "line"))
+    return out.where("line is not null").select("document", F.struct("row_number", "__k").alias("position"), "line")
+
+
+def bank_files(rows: DataFrame, kind: str, rows_each: int = ROWS_EACH) -> DataFrame:
+    """(name, content): export rows as csv, json, xlsx or docx files of at most rows_each rows, which a task holds at once.
+
+    Files are in order of row_number; csv, xlsx and docx have headings.
     """
-    ordered = rows.orderBy("row_number")
     if kind == "csv":
-        named = ordered.select(*(F.col(c).alias(h) for c, h in HEADINGS.items()))
-        named.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    elif kind in ("json", "parquet"):
-        ordered.write.format(kind).save(folder)
+        cells = F.struct(*(F.col(c).alias(h) for c, h in HEADINGS.items()))
+        books = _joined(rows, F.to_csv(cells, _CSV), rows_each, ",".join(HEADINGS.values()) + "\n")
+    elif kind == "json":
+        books = _joined(rows, F.to_json(F.struct(*HEADINGS)), rows_each)
+    elif kind == "xlsx":
+        books = xlsx_writer.workbooks(rows, HEADINGS, rows_each=rows_each)
+    elif kind == "docx":
+        books = docx_writer.documents(document_rows(rows, rows_each)).withColumnRenamed("document", "book")
+    else:
+        raise ValueError("csv, json, xlsx, docx or parquet")
+    return books.select(F.format_string(f"bank-%05d.{kind}", F.col("book").cast("long")).alias("name"), F.col("content").cast("binary").alias("content"))
+
+
+def save_bank(rows: DataFrame, kind: str, folder: str, rows_each: int = ROWS_EACH) -> None:
+    """Writes export rows to a new folder as csv, json, xlsx, docx or parquet, all files or none.
+
+    Files hold at most rows_each rows each and are put in place by one commit, with a manifest; no file passes the
+    driver. An existing folder is refused, and so is an export without rows. Parquet is Spark's own writer.
+    """
+    if kind == "parquet":
+        rows.repartitionByRange("row_number").sortWithinPartitions("row_number").write.parquet(folder)
     else:
-        raise ValueError("csv, json or parquet")
+        save_files(bank_files(rows, kind, rows_each), folder)
 
 
 def saved_bank(spark: SparkSession, kind: str, folder: str) -> DataFrame:
-    """What save_bank() has written, under the names of the columns; csv does not tell blank cells from nulls, so they are blank."""
+    """What save_bank() has written as csv, json or parquet, under the names of the columns; csv does not tell blank cells from nulls, so they are blank.
+
+    Workbooks and documents are read by their own sources.
+    """
     if kind != "csv":
-        return spark.read.schema(", ".join(f"{c} {'bigint' if c == 'row_number' else 'string'}" for c in HEADINGS)).format(kind).load(folder)
-    found = spark.read.csv(folder, header=True, escape='"', multiLine=True)
+        found = spark.read.schema(", ".join(f"{c} {'bigint' if c == 'row_number' else 'string'}" for c in HEADINGS)).format(kind)
+        return found.option("pathGlobFilter", f"*-*.{kind}").load(folder)
+    found = spark.read.csv(folder, header=True, escape='"', multiLine=True, pathGlobFilter="*.csv")
     return found.select(*(F.col(h).cast("long").alias(c) if c == "row_number" else F.coalesce(F.col(h), F.lit("")).alias(c) for c, h in HEADINGS.items()))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillbank.functions.tables import shared_folder
 from quillbank.operators import exports, history, listing, papers, resources, sampling, stats
 from quillbank.plans.bank_queries import _BRIDGE, _PARTS, _USE, HARD_TAGS, NOW, _bridge, _parts, _used_parts, query
 from quillbank.plans.content_queries import _BANK, _bank
+from quillbank.sources import docx, xlsx
+from quillbank.sources.committed_files import file_faults
 
 
 @query("""WITH f AS (SELECT l_orderkey, date_diff('day', DATE '1992-01-01', l_shipdate) AS day, CASE WHEN l_returnflag = 'A' THEN 'E-' || l_linestatus END AS code, l_partkey FROM lineitem),
@@ -50,6 +53,37 @@ def bank_saved_json(t):
     return _saved(t, "json")
 
 
+@query(f"""WITH {_BANK} SELECT 'bank-' || lpad(CAST((n - 1) // 500 AS VARCHAR), 5, '0') || '.xlsx' AS book, CAST((n - 1) % 500 + 2 AS INTEGER) AS row_number, p_name AS stem, p_brand AS answer, 0 AS faults, true AS refused FROM bank""")
+def bank_saved_xlsx(t):
+    """The bank saved as workbooks by one commit, tried again on the same folder, and read again."""
+    rows = exports.export_rows(_bank(t), [F.asc("k")])
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    exports.save_bank(rows, "xlsx", folder, 500)
+    refused = False
+    try:
+        exports.save_bank(rows, "xlsx", folder, 500)
+    except AnalysisException:
+        refused = True
+    faults = file_faults(spark, folder).agg(F.count("*").cast("int").alias("faults"))
+    got = xlsx.read_workbooks(spark, folder).crossJoin(F.broadcast(faults))
+    return got.select(F.element_at(F.split("path", "/"), -1).alias("book"), F.col("row_number").cast("int").alias("row_number"), "stem", "answer", "faults", F.lit(refused).alias("refused"))
+
+
+@query(f"""WITH {_BANK}, s AS (SELECT *, lag(p_brand || ' / C' || p_size) OVER (PARTITION BY (n - 1) // 300 ORDER BY n) AS before FROM bank),
+    listed AS (SELECT n, list_concat(CASE WHEN before IS DISTINCT FROM p_brand || ' / C' || p_size THEN [p_brand || ' / C' || p_size] ELSE [] END, [n || '. ' || p_name],
+    CASE WHEN p_size % 2 = 1 THEN ['A. x ' || p_name, 'B. ' || p_brand] ELSE [] END, ['标签：' || replace(p_type, ' ', '、'), '【答案】' || p_brand]) AS lines FROM s)
+    SELECT 'bank-' || lpad(CAST((n - 1) // 300 AS VARCHAR), 5, '0') || '.docx' AS name, CAST(sum(len(lines)) AS BIGINT) AS n_lines, sha256(string_agg(array_to_string(lines, chr(10)), chr(10) ORDER BY n)) AS digest FROM listed GROUP BY 1""")
+def bank_saved_docx(t):
+    """The bank saved as documents by one commit, and their lines read again."""
+    rows = exports.export_rows(_bank(t), [F.asc("k")])
+    folder = f"{shared_folder(rows.sparkSession)}/export-{uuid.uuid4().hex}"
+    exports.save_bank(rows, "docx", folder, 300)
+    lines = docx.document_parts(docx.read_documents(rows.sparkSession, folder), "paragraphs")
+    whole = lines.groupBy(F.element_at(F.split("doc_id", "/"), -1).alias("name")).agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("paragraph_index", "text"))).alias("x"))
+    return whole.select("name", "n_lines", F.sha2(F.array_join(F.transform("x", lambda x: x["text"]), "\n"), 256).alias("digest"))
+
+
 @query("""SELECT p_partkey AS id, coalesce(string_agg(l_orderkey || '/' || l_suppkey || '/' || l_returnflag, ',' ORDER BY l_orderkey, l_suppkey, l_returnflag), '') AS resources
     FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""")
 def hydrate_resources(t):

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillbank.sources.committed_files import file_list, save_files
+
 SHEET = "题库"
 ROWS_EACH = 20_000
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
@@ -100,22 +102,7 @@ def workbooks(rows: DataFrame, headings: dict[str, str], number: str = "row_numb
 
 
 def save_workbooks(books: DataFrame, folder: str, stem: str = "bank") -> list[str]:
-    """Writes each book to a folder that must not exist yet, in any store that Spark writes; returns the paths.
-
-    Books pass the driver one at a time.
-    """
-    spark = books.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(target):
-        raise FileExistsError(folder)
-    paths = []
-    for row in books.select("book", "content").toLocalIterator():
-        path = f"{folder.rstrip('/')}/{stem}-{row['book']:05d}.xlsx"
-        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(path), False)
-        try:
-            out.write(bytes(row["content"]))
-        finally:
-            out.close()
-        paths.append(path)
-    return sorted(paths)
+    """Writes each book to a folder that must not exist yet, all or none, from the tasks; returns the paths."""
+    named = books.select(F.format_string(f"{stem}-%05d.xlsx", "book").alias("name"), "content")
+    save_files(named, folder, allow_none=True)
+    return sorted(f"{folder.rstrip('/')}/{r['name']}" for r in file_list(books.sparkSession, folder).select("name").collect())
