@@ -55,6 +55,76 @@ def pair_similarity(pairs: DataFrame, texts: DataFrame, left: str = "left_id", r
     return out.withColumn("similarity", similarity).drop("shared", "s1", "s2")
 
 
+def gram_bag(text: str) -> np.ndarray:
+    """The bigrams of a text as whole numbers in order, the k-th of a kind apart from the others, so that bags are sets."""
+    codes = np.frombuffer((text + "\0" if len(text) == 1 else text).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = np.sort((codes[:-1] << np.uint64(21) | codes[1:]) << np.uint64(22))
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    place = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
+    return grams | place.astype(np.uint64)
+
+
+def shared_between(left: list[np.ndarray], right: list[np.ndarray], tokens: int = 1 << 17) -> np.ndarray:
+    """How many bigrams each bag of `left` has in common with each of `right`, repeats counted."""
+    shared = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return shared
+    known, owner = np.concatenate(left), np.repeat(np.arange(len(left)), [len(x) for x in left])
+    order = np.argsort(known, kind="stable")
+    known, first, count = np.unique(known[order], return_index=True, return_counts=True)
+    owner, ends = owner[order], np.cumsum([len(x) for x in right])
+    start = 0
+    while start < len(right) and len(known):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + tokens, "right")))
+        found = np.concatenate(right[start:stop])
+        of = np.repeat(np.arange(stop - start), [len(x) for x in right[start:stop]])
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hit = known[at] == found
+        at, of = at[hit], of[hit]
+        n = count[at]
+        places = np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+        cells = owner[places] * (stop - start) + np.repeat(of, n)
+        shared[:, start:stop] = np.bincount(cells, minlength=len(left) * (stop - start)).reshape(len(left), -1)
+        start = stop
+    return shared
+
+
+CHUNK = 64
+
+
+def _best_in_chunk(probes: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """The most similar candidate of each probe, of equal ones the first; the probes' candidates are in order."""
+    left, right = ([gram_bag(t or "") for t in texts] for texts in (probes["text"], others["other_text"]))
+    place = {c: j for j, c in enumerate(others["other"].tolist())}
+    shared = shared_between(left, right)
+    sizes, found = np.array([len(x) for x in right], np.int64), []
+    for i, (key, candidates) in enumerate(zip(probes["key"], probes["candidates"], strict=True)):
+        at = np.array([place[c] for c in candidates], np.int64)
+        total = len(left[i]) + sizes[at]
+        fits = (sizes[at] > 0) & (len(left[i]) > 0)
+        score = np.where(fits, np.minimum(100, (200 * shared[i, at] + total // 2) // np.maximum(total, 1)), 0)
+        best = int(score.argmax())
+        found.append((key, candidates[best], int(score[best]), len(at)))
+    return pd.DataFrame(found, columns=["key", "candidate", "similarity", "n"])
+
+
+def best_candidates(pairs: DataFrame, probes: DataFrame, others: DataFrame) -> DataFrame:
+    """(key, candidate, similarity, n) for each key of pairs (key, candidate, rank): the most similar, of equal ones the first.
+
+    probes (key, text, length), others (candidate, text); n is the number of candidates, which has to be bounded. Probes
+    go to tasks in chunks of neighbouring lengths, whose candidates are much the same, so each text goes to a few chunks
+    and only the best pairs leave a task.
+    """
+    chunks = numbered(probes.select("key", "text", "length"), [F.asc("length"), F.asc("key")]).withColumn("chunk", F.floor(F.col("position") / CHUNK))
+    lists = pairs.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]).alias("candidates"))
+    mine = chunks.select("key", "text", "chunk").join(lists, "key")
+    theirs = mine.select(F.col("chunk").alias("asking"), F.explode("candidates").alias("candidate")).distinct().join(others.select("candidate", "text"), "candidate")
+    theirs = theirs.select("asking", F.col("candidate").alias("other"), F.col("text").alias("other_text"))  # names of their own, as both may come from one table
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    shape = f"key {kind(probes, 'key')}, candidate {kind(others, 'candidate')}, similarity int, n long"
+    return mine.groupBy("chunk").cogroup(theirs.groupBy("asking")).applyInPandas(_best_in_chunk, shape)
+
+
 def window_candidates(questions: DataFrame, scope: Column | None = None, window: int = WINDOW) -> DataFrame:
     """(id, candidate, rank): for each question (id, length, updated) in scope its `window` nearest lengths.
 
@@ -155,14 +225,9 @@ def best_match(probes: DataFrame, bank: DataFrame, window: int = WINDOW) -> Data
     near = at.join(newest.select(F.col("id").alias("candidate"), "length", "updated"), "length").where(~F.col("candidate").eqNullSafe(F.col("own")))
     order = Window.partitionBy("probe_id").orderBy(F.abs(F.col("length") - F.col("probe_length")), F.desc("updated"), "candidate")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window)
-    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    texts = bank.select(tag("b", "id").alias("id"), "text").unionByName(probes.select(tag("p", "id").alias("id"), "text"))
-    used = ranked.select(tag("b", "candidate").alias("id")).union(ranked.select(tag("p", "probe_id"))).distinct()
-    pairs = ranked.select("probe_id", "candidate", "rank", tag("p", "probe_id").alias("left_id"), tag("b", "candidate").alias("right_id"))
-    scored = pair_similarity(pairs, texts.join(used, "id", "left_semi"))
-    best = scored.groupBy("probe_id").agg(F.max_by(F.struct("candidate", "similarity"), F.struct("similarity", -F.col("rank"))).alias("x"))
-    status = F.when(F.col("x.similarity") >= SUSPECTED, "suspected").otherwise("none")
-    return best.select("probe_id", F.col("x.candidate").alias("candidate"), F.least("x.similarity", F.lit(99)).cast("int").alias("similarity"), status.alias("status"))
+    best = best_candidates(ranked.select(F.col("probe_id").alias("key"), "candidate", "rank"), probes.select(F.col("id").alias("key"), "text", "length"), bank.select(F.col("id").alias("candidate"), "text"))
+    status = F.when(F.col("similarity") >= SUSPECTED, "suspected").otherwise("none")
+    return best.select(F.col("key").alias("probe_id"), "candidate", F.least("similarity", F.lit(99)).cast("int").alias("similarity"), status.alias("status"))
 
 
 def _bank_candidates(items: DataFrame, bank: DataFrame, window: int) -> DataFrame:
@@ -188,12 +253,46 @@ def _bank_candidates(items: DataFrame, bank: DataFrame, window: int) -> DataFram
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window).select("ordinal", "candidate", "rank")
 
 
-def _earlier_candidates(items: DataFrame, window: int) -> DataFrame:
+def earlier_pairs(items: DataFrame, window: int = WINDOW, wanted: DataFrame | None = None) -> DataFrame:
+    """(ordinal, candidate, apart, longer): earlier items that can be among the `window` nearest in length of an item.
+
+    Items (ordinal, length) with distinct ordinals; wanted (ordinal) restricts those that look for candidates. By divide
+    and conquer over the places of the ordinals: on each level the items of a right half look for candidates in the left
+    half beside it, all of which are earlier, and over all levels an item meets every earlier one once. A left half is in
+    order of length, so an item needs `window` places to either side of its own there, which it reads from blocks of
+    that many places: about window * log2(n) rows for an item, and no pair of the others.
+    """
+    placed = numbered(items.select("ordinal", "length"), [F.asc("ordinal")], "p")
+    levels = max(1, (max(placed.count(), 1) - 1).bit_length())
+    half = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    half = half.withColumns({"pair": F.expr("shiftright(p, level + 1)"), "right": F.expr("shiftright(p, level) & 1")})
+    by = Window.partitionBy("level", "pair").orderBy("length")
+    runs = half.groupBy("level", "pair", "length").agg(F.sum(1 - F.col("right")).alias("n")).withColumn("upto", F.sum("n").over(by))
+    left = numbered(half.where("right = 0").select("level", "pair", "length", "ordinal"), [F.asc("level"), F.asc("pair"), F.asc("length"), F.asc("ordinal")], "place")
+    start = left.groupBy("level", "pair").agg(F.min("place").alias("start"))
+    left = left.join(start, ["level", "pair"]).join(runs, ["level", "pair", "length"])
+    # Of one length later ordinals come first, seen from either side: places from below, and with each run reversed.
+    below = F.col("place") - F.col("start")
+    left = left.select("level", "pair", F.col("ordinal").alias("candidate"), F.col("length").alias("other"), below.alias("below"), (2 * F.col("upto") - F.col("n") - 1 - below).alias("above"))
+    asks = half.where("right = 1").select("level", "pair", "length", "ordinal")
+    asks = asks if wanted is None else asks.join(wanted.select("ordinal"), "ordinal", "left_semi")
+    asks = asks.join(runs.select("level", "pair", "length", "upto"), ["level", "pair", "length"])
+    out = None
+    for side, low, high in (("below", F.col("upto") - window, F.col("upto") - 1), ("above", F.col("upto"), F.col("upto") + window - 1)):
+        many = asks.withColumns({"low": F.greatest(low, F.lit(0)), "high": high}).where("high >= 0")
+        many = many.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / window), F.floor(F.col("high") / window))))
+        blocks = left.select("level", "pair", "candidate", "other", F.col(side).alias("at"), F.floor(F.col(side) / window).alias("block"))
+        near = many.join(blocks, ["level", "pair", "block"]).where("at between low and high")
+        near = near.select("ordinal", "candidate", F.abs(F.col("other") - F.col("length")).alias("apart"), (F.col("other") > F.col("length")).alias("longer"))
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def _earlier_candidates(items: DataFrame, window: int, wanted: DataFrame) -> DataFrame:
     """(ordinal, candidate, rank): of the items before, those nearest in length; shorter or equal, then later ones first."""
-    prior = items.select(F.col("ordinal").alias("candidate"), F.col("length").alias("prior_length"))
-    near = items.select("ordinal", "length").join(prior, F.col("candidate") < F.col("ordinal"))
-    order = Window.partitionBy("ordinal").orderBy(F.abs(F.col("prior_length") - F.col("length")), F.col("prior_length") > F.col("length"), F.desc("candidate"))
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= window).select("ordinal", "candidate", "rank")
+    order = Window.partitionBy("ordinal").orderBy("apart", "longer", F.desc("candidate"))
+    near = earlier_pairs(items, window, wanted).withColumn("rank", F.row_number().over(order))
+    return near.where(F.col("rank") <= window).select("ordinal", "candidate", "rank")
 
 
 def check_batch(items: DataFrame, bank: DataFrame, mode: str = "full", window: int = WINDOW) -> DataFrame:
@@ -203,7 +302,7 @@ def check_batch(items: DataFrame, bank: DataFrame, mode: str = "full", window: i
     bank: (id, text, length, updated, fingerprint). Null fingerprints are not comparable. `candidate` is a bank id,
     `earlier` the ordinal of a row of the batch. Mode full: the first exact row of the bank, else the first of the batch,
     else the most similar of the bank's nearest lengths; exact: without the last; import: the batch alone, first its
-    exact rows, else the most similar of the rows before (only if suspected). A batch is bounded, as its rows meet.
+    exact rows, else the most similar of the rows before (only if suspected).
     """
     if mode not in ("full", "exact", "import"):
         raise ValueError(f"no such mode: {mode}")
@@ -223,20 +322,10 @@ def check_batch(items: DataFrame, bank: DataFrame, mode: str = "full", window: i
         out = out.withColumns({"near": none, "value": F.lit(None).cast("int"), "n": F.lit(0).cast("long")})
     else:
         rest = items.join(out.where(~exact).select("ordinal"), "ordinal", "left_semi")
-        if mode == "import":
-            near = _earlier_candidates(items, window).join(rest.select("ordinal"), "ordinal", "left_semi")
-        else:
-            near = _bank_candidates(rest, bank, window)
-        tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-        letter = "p" if mode == "import" else "b"
-        pairs = near.select("ordinal", "candidate", "rank", tag("p", "ordinal").alias("left_id"), tag(letter, "candidate").alias("right_id"))
-        texts = items.select(tag("p", "ordinal").alias("id"), "text")
-        if mode == "full":
-            used = near.select(F.col("candidate").alias("id")).distinct()
-            texts = texts.unionByName(bank.join(used, "id", "left_semi").select(tag("b", "id").alias("id"), "text"))
-        scored = pair_similarity(pairs.select("left_id", "right_id"), texts).join(pairs, ["left_id", "right_id"])
-        best = scored.groupBy("ordinal").agg(F.max_by(F.struct("candidate", "similarity"), F.struct("similarity", -F.col("rank"))).alias("x"), F.count("*").alias("n"))
-        out = out.join(best.select("ordinal", F.col("x.candidate").alias("near"), F.col("x.similarity").alias("value"), "n"), "ordinal", "left")
+        near = _earlier_candidates(items, window, rest) if mode == "import" else _bank_candidates(rest, bank, window)
+        others = items.select(F.col("ordinal").alias("candidate"), "text") if mode == "import" else bank.select(F.col("id").alias("candidate"), "text")
+        best = best_candidates(near.withColumnRenamed("ordinal", "key"), rest.select(F.col("ordinal").alias("key"), "text", "length"), others)
+        out = out.join(best.select(F.col("key").alias("ordinal"), F.col("candidate").alias("near"), F.col("similarity").alias("value"), "n"), "ordinal", "left")
     suspected = F.coalesce(F.col("value") >= SUSPECTED, F.lit(False))
     shown = suspected if mode == "import" else F.col("near").isNotNull()
     near, earlier = F.when(shown, F.col("near")), F.when(F.col("same_bank").isNull(), F.col("same_batch"))

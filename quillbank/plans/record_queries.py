@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillbank.functions.tables import shared_folder
@@ -63,7 +62,7 @@ def bank_saved_xlsx(t):
     refused = False
     try:
         exports.save_bank(rows, "xlsx", folder, 500)
-    except AnalysisException:
+    except FileExistsError:
         refused = True
     faults = file_faults(spark, folder).agg(F.count("*").cast("int").alias("faults"))
     got = xlsx.read_workbooks(spark, folder).crossJoin(F.broadcast(faults))

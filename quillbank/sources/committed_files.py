@@ -124,6 +124,8 @@ class CommittedFiles(DataSource):
 def save_files(files: DataFrame, folder: str, allow_none: bool = False) -> None:
     """Writes rows (name, content) as files of a new folder, all or none."""
     spark = files.sparkSession
+    if _exists(*_place(folder)):
+        raise FileExistsError(f"{folder} exists already")
     spark.dataSource.register(CommittedFiles)
     rows = files.select("name", F.col("content").cast("binary").alias("content"))
     rows.write.format(FORMAT).mode("append").option("path", folder).option("allow_none", str(allow_none).lower()).save()

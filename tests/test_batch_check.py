@@ -68,3 +68,34 @@ def test_check_batch(spark, mode):
         got = {r[0]: tuple(r)[1:] for r in dedup.check_batch(x, b, mode, window).collect()}
         assert got == _plain(items, bank, mode, window)
         assert mode == "exact" or {"exact", "none", "suspected"} >= {r[0] for r in got.values()} > {"exact"}
+
+
+def test_grams_in_common():
+    rng = random.Random(4)
+    texts = ["", "a", "aa", "aaaa", "\U0001f600é\U0001f600é", *("".join(rng.choices("ab一", k=rng.randrange(1, 60))) for _ in range(40))]
+    bags = [dedup.gram_bag(t) for t in texts]
+    counts = [Counter([t + "\0"] if len(t) == 1 else [t[i : i + 2] for i in range(len(t) - 1)]) for t in texts]
+    want = [[sum((a & b).values()) for b in counts] for a in counts[:20]]
+    for tokens in (7, 1 << 17):
+        assert dedup.shared_between(bags[:20], bags, tokens).tolist() == want
+    assert [len(b) for b in bags] == [sum(c.values()) for c in counts] and dedup.shared_between([], bags).shape == (0, 45)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 37, 200])
+def test_nearest_earlier_items(spark, n):
+    rng = random.Random(n)
+    lengths = [rng.choice([5, 5, 5, 6, 9, rng.randrange(50)]) for _ in range(n)]
+    items = spark.createDataFrame([(3 * i, x) for i, x in enumerate(lengths)], "ordinal long, length int")
+    got = {}
+    for r in dedup._earlier_candidates(items, 8, items).collect():
+        got.setdefault(r["ordinal"], {})[r["rank"]] = r["candidate"]
+    want = {3 * i: dict(enumerate([3 * j for j in sorted(range(i), key=lambda j: (abs(lengths[j] - x), lengths[j] > x, -j))][:8], 1)) for i, x in enumerate(lengths) if i}
+    assert got == want
+
+
+def test_earlier_candidates_grow_with_n_log_n(spark):
+    """Rows for the candidates of all items, at most window * log2(n) an item, whether lengths differ or not."""
+    for kind in (lambda i: i * 7919 % 1000, lambda i: i // 600):
+        for n in (1000, 2000, 4000):
+            items = spark.createDataFrame([(i, kind(i)) for i in range(n)], "ordinal long, length int")
+            assert dedup.earlier_pairs(items, 16).count() <= 16 * n * (n - 1).bit_length()
