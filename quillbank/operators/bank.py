@@ -134,6 +134,13 @@ def taken_names(types: DataFrame, aliases: DataFrame, wanted: DataFrame) -> Data
     return hits.groupBy("code", "name").agg(F.min("taken_by").alias("taken_by"))
 
 
+def same_names(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted names (id, name) that another row (id, name) has already, capitals and small letters alike; taken_by is the least such id."""
+    known = rows.select(F.col("id").alias("taken_by"), F.col("name").alias("__name"))
+    hits = wanted.join(known, F.collate(F.trim("name"), "UTF8_LCASE") == F.collate(F.trim("__name"), "UTF8_LCASE")).where(~F.col("id").eqNullSafe(F.col("taken_by")))
+    return hits.groupBy("id", "name").agg(F.min("taken_by").alias("taken_by"))
+
+
 def saved_filters(existing: DataFrame, given: DataFrame, most: int = 100) -> DataFrame:
     """Filters (name, definition, updated_at_ms) after an upsert by name; only the newest `most` stay, as the report is."""
     both = existing.select("name", "definition", "updated_at_ms", F.lit(0).alias("__new")).unionByName(given.select("name", "definition", "updated_at_ms", F.lit(1).alias("__new")))

@@ -400,11 +400,25 @@ def merged(questions: DataFrame, members: DataFrame, now_ms: int) -> DataFrame:
 
 
 def _mergeable(questions: DataFrame, requests: DataFrame) -> DataFrame:
-    """(id, group_id, keeper) of the groups of 2 to 500 distinct live members whose versions are all as read."""
-    versions = questions.select("id", "content_version", F.col("deleted_at_ms").isNull().alias("live"))
-    members = requests.select("group_id", "id", "expected_version").dropDuplicates(["group_id", "id"]).join(versions, "id", "left")
+    """(id, group_id, keeper) of the groups of 2 to 500 distinct live members whose versions are all as read.
+
+    requests may name a keeper_id for a group, which has to be a member, the same in all rows; else the smallest id is
+    kept. They may give a kind: a group that is exact in any row needs one fingerprint, which is not null, in all its
+    members; other kinds than exact and suspected do not merge.
+    """
+    named, kinds = "keeper_id" in requests.columns, "kind" in requests.columns
+    prints = F.col("fingerprint") if kinds else F.lit("")
+    versions = questions.select("id", "content_version", F.col("deleted_at_ms").isNull().alias("live"), prints.alias("__print"))
+    asked = requests.select("group_id", "id", "expected_version", *(["keeper_id"] if named else []), *(["kind"] if kinds else [])).dropDuplicates(["group_id", "id"])
+    members = asked.join(versions, "id", "left")
     fine = F.coalesce(F.col("live") & (F.col("content_version") == F.col("expected_version")), F.lit(False))
-    groups = members.groupBy("group_id").agg(F.min(fine).alias("fine"), F.count("*").alias("n"), F.min("id").alias("keeper")).where("fine and n between 2 and 500")
+    if kinds:
+        fine = fine & F.coalesce(F.col("kind").isin("exact", "suspected"), F.lit(False))
+    keeper = F.max("keeper_id") if named else F.min("id")
+    member = (F.max((F.col("keeper_id") == F.col("id")).cast("int")) == 1) & (F.min("keeper_id") == F.max("keeper_id")) & (F.count("keeper_id") == F.count("*")) if named else F.lit(True)
+    alike = (F.count_if(F.col("kind") == "exact") == 0) | ((F.count("__print") == F.count("*")) & (F.min("__print") == F.max("__print"))) if kinds else F.lit(True)
+    groups = members.groupBy("group_id").agg(F.min(fine).alias("fine"), F.count("*").alias("n"), keeper.alias("keeper"), member.alias("member"), alike.alias("alike"))
+    groups = groups.where("fine and n between 2 and 500 and member and alike")
     return members.select("id", "group_id").join(groups.select("group_id", "keeper"), "group_id")
 
 
@@ -412,7 +426,8 @@ def merge_checked(questions: DataFrame, requests: DataFrame, now_ms: int, most_t
     """questions (id, tags, content_version, deleted_at_ms) after the groups of requests (group_id, id, expected_version) merged.
 
     A group merges as a whole or not at all: it needs 2 to 500 live members at the versions that were read, and at most
-    `most_tags` tags together. The smallest id keeps all tags, the others go to the bin, and all are a version on.
+    `most_tags` tags together. The keeper, which requests may name, else the smallest id, keeps all tags, the others go to
+    the bin, and all are a version on. Of exact groups all members need one fingerprint (see _mergeable()).
     """
     members = _mergeable(questions, requests)
     tags = members.join(questions.select("id", "tags"), "id").groupBy("group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("__tags"))

@@ -73,3 +73,24 @@ def taxonomy_tree(subjects: DataFrame, chapters: DataFrame) -> DataFrame:
 def in_order(dimension: DataFrame) -> DataFrame:
     """dimension (id, sort_order, ...) with the place of each row, from 1, by sort_order and id (nulls first)."""
     return numbered(dimension, [F.asc("sort_order"), F.asc("id")], "place").withColumn("place", F.col("place") + 1)
+
+
+#: Fixed value: the language whose order of names the reports use.
+NAMES = "zh"
+
+
+def by_name(dimension: DataFrame, key: str = "name", collation: str = NAMES) -> DataFrame:
+    """dimension (id, name, ...) with the place of each row, from 1, by name in the order of a language, then id."""
+    return numbered(dimension, [F.asc(F.collate(F.col(key), collation)), F.asc("id")], "place").withColumn("place", F.col("place") + 1)
+
+
+def ranking_by_name(facts: DataFrame, names: list[str], sort_order: str | None = None, collation: str = NAMES) -> DataFrame:
+    """Groups of facts by falling count, then sort_order (nulls last) if there is one, then each of the names in the order of a language.
+
+    The window runs over the groups, of which there are as many as names; names that a language takes for equal are told
+    apart in binary order.
+    """
+    keys = [*names, *([sort_order] if sort_order else [])]
+    n = facts.groupBy(*keys).agg(F.count("*").alias("questions"))
+    order = [F.desc("questions"), *([F.asc_nulls_last(sort_order)] if sort_order else []), *(F.asc(F.collate(F.col(c), collation)) for c in names), *names]
+    return n.withColumn("place", F.row_number().over(Window.orderBy(*order)))
