@@ -13,7 +13,8 @@ text is links. From this follows the wrapper:
 
 Element names, roles and class words are hints on top, on which pages of hosts with few pages depend: blocks inside
 <article> or <main> where there are such elements, and never menus, headers, footers, sidebars, notices, adverts, forms,
-comments or code. A class word drops no element that holds most of the page's text.
+comments or code. A class word drops no element that holds most of the page's text. On pages without a wrapper elements
+with little text go by the last word of a class name too.
 
 The work for a page is linear in its length, but for the alignment, which takes at most NODES nodes, CHILDREN children a
 node and DEPTH levels. Elements beyond them are not aligned, so that hints alone decide on their text; none is lost.
@@ -66,6 +67,9 @@ WORDS = READERS | frozenset(
     "breadcrumb breadcrumbs share sharing social related newsletter subscribe subscription popup modal overlay "
     "footer header masthead widget toolbar pagination login signup".split()
 )
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())  # what inline elements go by
+NO_MARK = frozenset("no not with without has is article post entry content story".split())  # first words of names that tell of something else
+LITTLE = 0.2  # most of a page's text that an element may hold to go by the last word of a class name
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption table tr td th hr address details summary".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -73,6 +77,7 @@ _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]++|=)*+>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*\bdisplay\s*:\s*none\b)""", re.I)
 
 
 def _leading(values: dict[str, str]) -> set[str]:
@@ -88,13 +93,20 @@ def _named(tag: str, leading: set[str], article: bool) -> bool:
     return not leading.isdisjoint(WORDS) and leading.isdisjoint(HOLDS)
 
 
+def _ends(tag: str, values: dict[str, str]) -> bool:
+    """Whether a class name or the id ends with a word of WORDS, as in main-nav or site-footer."""
+    names = [[w for w in _SPLIT.split(x) if w] for x in f"{values.get('class', '')} {values.get('id', '')}".split()]
+    return tag not in WHOLE and any(x and x[-1] in WORDS and x[0] not in NO_MARK for x in names)
+
+
 class Node:
     """A block element: its kind (tag and class), children, and the numbers of its text blocks."""
 
-    __slots__ = ("kind", "tag", "children", "blocks", "out", "named", "readers", "dropped", "article", "kids")
+    __slots__ = ("kind", "tag", "children", "blocks", "out", "named", "ends", "readers", "dropped", "article", "kids")
 
     def __init__(self, tag: str, kind: str, out: bool = False, named: bool = False, readers: bool = False, article: bool = False) -> None:
         self.tag, self.kind, self.out, self.named, self.readers, self.dropped, self.article = tag, kind, out, named, readers, False, article
+        self.ends = False
         self.children: list[Node] = []
         self.blocks: list[int] = []
         self.kids: list[tuple[str, list[Node]]] = []
@@ -115,6 +127,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
         if less > at:
             yield "text", html[at:less], "", less
         at = less
+        if html.startswith(("<!-->", "<!--->"), at):  # a comment that ends at once
+            at = html.find(">", at) + 1
+            continue
         if html.startswith("<!--", at):
             end = html.find("-->", at + 4)
             at = size if end < 0 else end + 3
@@ -143,17 +158,19 @@ def parse(html: str, hints: bool = True) -> tuple[Node, list[tuple[Node, str, in
     """The tree of block elements, and the text blocks in page order: element, text, and how many characters are links.
 
     Elements go by their class words unless they hold the body, <main>, the only articles of the page, or most of its
-    text (reader comments: nine tenths of it). Without hints only markup that is never text goes. No recursion, and at
-    most OPEN open elements; what is deeper becomes siblings.
+    text (reader comments: nine tenths of it); hidden ones go too, and inline ones by words for adverts, up to the end of
+    their block. Without hints only markup that is never text goes. No recursion, and at most OPEN open elements; what is
+    deeper becomes siblings.
     """
     root = Node("", "")
     stack, blocks, held, linked = [root], [], [], 0
     opened, skipped, closers = Counter(), Counter(), {}
-    link = False
+    link, muted, depth_muted = False, "", 0
     dropping = DROPPED if hints else MARKUP
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, muted
+        muted = ""
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
@@ -170,10 +187,19 @@ def parse(html: str, hints: bool = True) -> tuple[Node, list[tuple[Node, str, in
     pieces = tokens(html)
     for kind, tag, attributes, end in pieces:
         if kind == "text":
-            held.append(tag)
-            linked += len(tag) if link else 0
+            if not muted:
+                held.append(tag)
+                linked += len(tag) if link else 0
             continue
         if tag in INLINE:
+            if tag == muted:
+                depth_muted += 1 if kind == "open" else -1
+                muted = muted if depth_muted else ""
+                held.append(" ")
+            elif hints and not muted and kind == "open" and tag not in ("br", "img", "input", "wbr") and "class" in attributes.lower():
+                values = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+                if not attributes.endswith("/") and not ADVERTS.isdisjoint(_leading({"class": values.get("class", "")})):
+                    muted, depth_muted = tag, 1
             if tag == "br":
                 held.append(" ")
             elif tag == "a":
@@ -203,10 +229,14 @@ def parse(html: str, hints: bool = True) -> tuple[Node, list[tuple[Node, str, in
         values = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         above = stack[-1]
         inside = tag == "header" and above.article or tag == "footer" and above.tag in ("blockquote", "figure")
-        out = tag in dropping and not inside or hints and values.get("role") in ROLES
+        out = tag in dropping and not inside or hints and (values.get("role") in ROLES or bool(attributes) and tag not in WHOLE and _HIDDEN.search(attributes) is not None)
         leading = _leading(values) if hints else set()
         article = hints and (above.article or tag in ARTICLE)
         node = Node(tag, f"{tag}.{values.get('class', '')}", out, _named(tag, leading, above.article), not leading.isdisjoint(READERS), article)
+        node.ends = hints and _ends(tag, values) and not (article and "header" in node.kind)
+        if tag in ARTICLE or tag == "body":
+            for x in stack:
+                x.ends = False
         if tag in ("main", "body"):
             for x in stack:
                 x.named = False
@@ -254,14 +284,16 @@ def _settle(root: Node, blocks: list[tuple[Node, str, int]]) -> None:
     for node, out in order:
         if node.named and not out and mass[id(node)] > (0.9 if node.readers else 0.5) * total:
             node.named = False
+        if node.ends and mass[id(node)] > LITTLE * total:
+            node.ends = False
 
 
-def _drop(root: Node) -> None:
+def _drop(root: Node, ends: bool = False) -> None:
     todo = [root]
     while todo:
         node = todo.pop()
         for x in node.children:
-            x.dropped = node.dropped or x.out or x.named
+            x.dropped = node.dropped or x.out or x.named or ends and x.ends
         todo += node.children
 
 
@@ -435,9 +467,12 @@ def main_text(html: str | None, model: str | None = None, constant: dict[int, st
 
     `constant` are the model's nodes of one text, with it, and `moving` those of rotating texts and of links. A constant
     node is left out where the page has its text, a moving one where it is not in an article; neither if they are the
-    larger part of an article, nor if nothing else is left.
+    larger part of an article, nor if nothing else is left. Without a model, elements with little text go by the last word
+    of a class name too.
     """
     root, blocks = parse(html or "", hints)
+    if not model and hints:
+        _drop(root, True)
     template: set[int] = set()
     if model and (constant or moving):
         tree = skeleton(root)
