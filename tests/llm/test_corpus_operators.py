@@ -266,6 +266,26 @@ def test_jaccard_links_are_all_counted(spark):
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_links"]) for r in got) == want
 
 
+def test_links_of_a_chain_are_counted_with_few_rows(spark, monkeypatch):
+    """Each text is like its two neighbours on either side; rows dealt double with the documents, and all links count."""
+    from quillbank.llm import ngram_jaccard
+
+    dealt, plain = [], ngram_jaccard.counting_groups
+
+    def counting(*args):
+        out = plain(*args)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "counting_groups", counting)
+    for n in (300, 600, 1200):
+        rows = [(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 150))) for i in range(n)]
+        got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=32).collect()}
+        near = sum(100 * (146 - 10 * d) >= 75 * (146 + 10 * d) for d in range(1, 15))
+        assert got == {i: (0, min(i, near) + min(n - 1 - i, near)) for i in range(n)} and near >= 2
+    assert dealt[2] < 2.2 * dealt[1] < 4.84 * dealt[0] and dealt[2] < 12 * 1200, dealt
+
+
 def _paragraph_mix(n, seed=11):
     """Documents of 8 out of 60 paragraphs each: many share paragraphs, hardly any two are similar."""
     rng = random.Random(seed)
