@@ -353,5 +353,9 @@ def has_reserved_mark(text: Column) -> Column:
 def compact_stem(html: Column) -> Column:
     """Markup of a stem for lists: tables and images become [表格] and [图片], active elements go."""
     out = F.regexp_replace(html, r"(?is)<(script|style|template|iframe|object)\b.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?is)<table\b.*?</table\s*>", "[表格]")
+    # Tables from the inside out, as often as there are any, so that nested ones are one.
+    tables = F.regexp_count(out, F.lit(r"(?i)<table\b"))
+    inner = r"(?is)<table\b(?:(?!<table\b).)*?</table\s*>"
+    inside = lambda found: F.transform(F.array(found), lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(tables, F.lit(1))), x, lambda text, _: F.regexp_replace(text, inner, "[表格]")))[0]
+    out = inside(out)
     return F.regexp_replace(out, r"(?is)<img\b[^>]*>", "[图片]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillbank.functions import json_edit
-from quillbank.operators import bank, dedup, deletes, history, overwrites, stats
+from quillbank.operators import bank, dedup, deletes, document_tree, history, offsets, overwrites, stats
 from quillbank.operators.deletes import Link
 from quillbank.plans.bank_queries import query
 from quillbank.plans.content_queries import _versions
@@ -196,3 +196,39 @@ def template_names_taken(t):
     n = t("nation")
     name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"))).otherwise(F.concat("n_name", F.lit("x")))
     return bank.same_names(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), n.select((F.col("n_nationkey") + 1000).alias("id"), name.alias("name")))
+
+
+@query("""SELECT doc_id AS id, 'open:ul=;open:li=;open:p=;text=' || lower(lang) || coalesce(source, 'none') || ';open:sup=;text=x' || doc_id % 7 || ';close:sup=;break=;text=y;close:p=;close:li=;close:ul=;open:table=;open:tr=;open:td=2,1;open:h3=;formula=\\Alpha ' || lang || ';close:h3=;image=r' || doc_id % 5 || ';close:td=;close:tr=;close:table=' AS tokens,
+    upper(lang) || ' ' || coalesce(source, 'none') || ' X' || doc_id % 7 || chr(10) || 'Y' || chr(10) || chr(10) || chr(10) || '\\Alpha ' || lang || chr(10) || 'alt' AS text, true AS meaningful, false AS unverified, 'r' || doc_id % 5 AS images FROM documents""")
+def document_tree_tokens(t):
+    """Editor documents with lists, tables, formulas and images as tokens, by expressions over their nodes."""
+    text = lambda value, more="": F.concat(F.lit('{"type":"text","text":"'), value, F.lit(f'"{more}}}'))
+    node = lambda kind, *inner, attrs="": F.concat(F.lit(f'{{"type":"{kind}",{attrs}"content":['), F.concat_ws(",", *inner), F.lit("]}"))
+    lang, number = F.col("lang"), F.col("doc_id").cast("string")
+    line = node("paragraph", text(F.concat(F.upper(lang), F.lit(" "), F.coalesce("source", F.lit("none")))), text(F.concat(F.lit(" X"), (F.col("doc_id") % 7).cast("string")), ',"marks":[{"type":"bold"},{"type":"superscript"}]'), F.lit('{"type":"hardBreak"}'), text(F.lit("Y")))
+    formula = F.concat(F.lit('{"type":"mathNode","attrs":{"latex":" \\\\Alpha '), lang, F.lit('"}}'))
+    image = F.concat(F.lit('{"type":"image","attrs":{"resourceId":"r'), (F.col("doc_id") % 5).cast("string"), F.lit('","alt":"alt"}}'))
+    cell = node("tableCell", node("heading", formula, attrs='"attrs":{"level":3},'), image, attrs='"attrs":{"colspan":2},')
+    whole = node("doc", node("bulletList", node("listItem", line)), node("table", node("tableRow", cell)))
+    got = document_tree.document_tokens(t("documents").select(F.col("doc_id").alias("id"), whole.alias("document")))
+    tokens = F.array_join(F.transform("tokens", lambda x: F.concat(x["kind"], F.lit("="), x["value"])), ";")
+    return got.select("id", tokens.alias("tokens"), "text", "meaningful", "unverified", F.array_join("image_ids", ",").alias("images"))
+
+
+_LINES_OF = "lines AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"""WITH {_LINES_OF}, made AS (SELECT *, strpos(line, ' ') AS k, CASE WHEN strpos(line, ' ') > 0 THEN line[:strpos(line, ' ') - 1] || '[formula]' || line[strpos(line, ' ') + 1:] ELSE line END AS text FROM lines),
+    placed AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 - length(text) AS start FROM made)
+    SELECT doc_id AS id, CAST(i AS INTEGER) AS paragraph, CAST(start + CASE WHEN k > 0 THEN k - 1 + 9 ELSE length(text) END AS BIGINT) AS after, CAST(start + length(text) AS BIGINT) AS place, md5(text) AS digest FROM placed""")
+def anchors_rebased(t):
+    """Lines of documents of which the first space becomes a formula: where that ends, and where an image at the end goes."""
+    docs = t("documents").where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_index", "text")).withColumn("paragraph_index", F.col("paragraph_index") + 1)
+    at = F.instr("text", " ")
+    formulas = lines.where(at > 0).select("doc_id", "paragraph_index", (at - 1).alias("start"), at.alias("end"), F.lit("[formula]").alias("text"))
+    merged = offsets.replaced_paragraphs(lines, formulas)
+    anchors = lines.select("doc_id", "paragraph_index", F.when(at > 0, at).otherwise(F.length("text")).alias("first"), F.length("text").alias("offset"))
+    out = offsets.rebased(offsets.rebased(anchors, merged, "first").withColumnRenamed("place", "after"), merged)
+    digests = merged.select("doc_id", "paragraph_index", F.md5("text").alias("digest"))
+    return out.join(digests, ["doc_id", "paragraph_index"]).select(F.col("doc_id").alias("id"), F.col("paragraph_index").cast("int").alias("paragraph"), F.col("after").cast("long").alias("after"), F.col("place").cast("long").alias("place"), "digest")
