@@ -153,3 +153,15 @@ def usage_cutoff_ms(window: str, now_ms: int) -> Column:
     if window not in ("month", "week", "day"):
         raise ValueError(f"unknown window {window!r}")
     return F.unix_millis(F.date_trunc(window, F.timestamp_millis(F.lit(now_ms))))
+
+
+def period_start(time: Column, window: str, zone: str) -> Column:
+    """Start of the month, week (Monday) or day of each time in a zone, as a time; of a semester, 180 days before.
+
+    In a session whose time zone is UTC. Where summer time begins or ends, the start has the offset of its own time.
+    """
+    if window == "semester":
+        return time - F.expr("INTERVAL 180 DAYS")
+    if window not in ("month", "week", "day"):
+        raise ValueError(f"unknown window {window!r}")
+    return F.to_utc_timestamp(F.date_trunc(window, F.from_utc_timestamp(time, zone)), zone)

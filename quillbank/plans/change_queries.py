@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillbank.functions import json_edit
+from quillbank.functions import json_edit, wording
+from quillbank.functions import text as T
 from quillbank.operators import bank, dedup, deletes, document_tree, history, offsets, overwrites, stats
 from quillbank.operators.deletes import Link
 from quillbank.plans.bank_queries import query
@@ -232,3 +233,47 @@ def anchors_rebased(t):
     out = offsets.rebased(offsets.rebased(anchors, merged, "first").withColumnRenamed("place", "after"), merged)
     digests = merged.select("doc_id", "paragraph_index", F.md5("text").alias("digest"))
     return out.join(digests, ["doc_id", "paragraph_index"]).select(F.col("doc_id").alias("id"), F.col("paragraph_index").cast("int").alias("paragraph"), F.col("after").cast("long").alias("after"), F.col("place").cast("long").alias("place"), "digest")
+
+
+_SUMMER = "({x} >= CAST(make_date(year({x}), 3, 31) - CAST(dayofweek(make_date(year({x}), 3, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR AND {x} < CAST(make_date(year({x}), 10, 31) - CAST(dayofweek(make_date(year({x}), 10, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR)"
+_AT_HOME = "{x} + CASE WHEN " + _SUMMER + " THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END"
+_BACK = "{x} - CASE WHEN " + _SUMMER.replace("{x}", "({x} - INTERVAL 1 HOUR)") + " THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS ts FROM lineitem WHERE year(l_shipdate) >= 1997), h AS (SELECT *, {_AT_HOME.format(x="ts")} AS home FROM l),
+    s AS (SELECT *, date_trunc('day', home) AS d, date_trunc('week', home) AS w, date_trunc('month', home) AS m FROM h)
+    SELECT l_orderkey AS id, l_linenumber AS line, CAST(epoch_ms({_BACK.format(x="CAST(d AS TIMESTAMP)")}) AS BIGINT) AS day, CAST(epoch_ms({_BACK.format(x="CAST(w AS TIMESTAMP)")}) AS BIGINT) AS week, CAST(epoch_ms({_BACK.format(x="CAST(m AS TIMESTAMP)")}) AS BIGINT) AS month, CAST(epoch_ms(ts) - CAST(180 AS BIGINT) * 86400000 AS BIGINT) AS semester FROM s""")
+def period_starts(t):
+    """Starts of the day, week, month and semester of each time, in a zone with summer time."""
+    lines = t("lineitem").where(F.year("l_shipdate") >= 1997)
+    time = F.timestamp_seconds(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_orderkey") % 24 * 3600)
+    starts = [F.unix_millis(T.period_start(F.col("time"), w, "Europe/Berlin")).alias(w) for w in ("day", "week", "month", "semester")]
+    return lines.select("l_orderkey", "l_linenumber", time.alias("time")).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), *starts)
+
+
+@query("""SELECT doc_id AS id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;')) AS escaped,
+    printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(lang || '/' || doc_id, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296)) AS signature FROM documents WHERE text IS NOT NULL""")
+def escaped_and_signed(t):
+    """Texts as XML content, and short signatures of 32 bits."""
+    docs = t("documents").where("text is not null")
+    return docs.select(F.col("doc_id").alias("id"), F.md5(wording.xml_escaped(F.col("text"))).alias("escaped"), wording._fnv(F.concat_ws("/", "lang", F.col("doc_id").cast("string"))).alias("signature"))
+
+
+@query("""SELECT n_regionkey AS parent, n_nationkey AS id, CASE WHEN n_nationkey % 7 = 3 THEN 'left out' ELSE 'twice' END AS problem FROM nation WHERE n_nationkey % 7 IN (3, 5) UNION ALL SELECT NULL, 1000 + r_regionkey, 'unknown' FROM region""")
+def order_problems(t):
+    """Orders that do not name exactly the rows of a parent: rows left out, named twice and unknown."""
+    n = t("nation")
+    rows = n.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("parent"))
+    asked = rows.where("id % 7 <> 3").select("id").union(rows.where("id % 7 = 5").select("id")).union(t("region").select(F.col("r_regionkey") + 1000))
+    return bank.order_mismatches(rows, asked, "parent").select("parent", "id", "problem")
+
+
+@query("""SELECT unnest(['total changed', 'repeated id', 'missing rows']) AS fault FROM (SELECT count(*) AS n FROM part) WHERE n > 0""")
+def pages_read_with_faults(t):
+    """Pages of a listing, read one by one while it changed: totals that differ, a row that came twice, rows that are missing."""
+    part = t("part")
+    page = F.floor(F.col("p_partkey") / 100)
+    total = part.agg(F.count("*").alias("n"))
+    rows = part.where("p_partkey % 10 <> 3").select(page.alias("page"), F.col("p_partkey").alias("id")).crossJoin(F.broadcast(total))
+    rows = rows.unionByName(rows.where("id % 10 = 4").withColumn("page", F.col("page") + 1)).select("page", (F.col("n") + F.col("page") % 2).alias("total"), "id")
+    return bank.page_faults(rows)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Namespaces, content types and relationship parts that the format prescribes.
 _MAIN = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _TYPES = (
     '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'

@@ -16,6 +16,7 @@ from quillbank.sources.committed_files import file_list, save_files
 
 SHEET = "题库"
 ROWS_EACH = 20_000
+#: Namespaces, content types and part names that the format prescribes, here and in Workbook.
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
