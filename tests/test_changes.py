@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillbank.functions import json_edit
+from quillbank.functions.text import period_start
 from quillbank.operators import bank, dedup, deletes, history, overwrites, stats
 from quillbank.operators.deletes import Link
 
@@ -153,3 +154,14 @@ def test_names_in_the_order_of_the_language(spark):
     assert ranked == ["数学", "地理", "历史", "语文", "abc", "ABC"]
     taken = bank.same_names(df.where("id > 2"), spark.createDataFrame([(3, "abc"), (70, " aBc "), (71, "x")], "id int, name string")).collect()
     assert [tuple(r) for r in taken] == [(70, " aBc ", 3)]
+
+
+def test_periods_where_summer_time_begins_and_ends(spark):
+    times = ["2024-03-30 22:30:00", "2024-03-31 00:30:00", "2024-03-31 12:00:00", "2024-04-01 00:00:00", "2024-10-27 00:30:00", "2024-10-27 23:30:00"]
+    df = spark.createDataFrame([(x,) for x in times], "t string").select(F.to_timestamp("t").alias("t"))
+    got = df.select(*(F.date_format(period_start(F.col("t"), w, "Europe/Berlin"), "MM-dd HH").alias(w) for w in ("day", "week", "month"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("03-29 23", "03-24 23", "02-29 23"), ("03-30 23", "03-24 23", "02-29 23"), ("03-30 23", "03-24 23", "02-29 23"), ("03-31 22", "03-31 22", "03-31 22"), ("10-26 22", "10-20 22", "09-30 22"), ("10-27 23", "10-27 23", "09-30 22"),
+    ]
+    with pytest.raises(ValueError):
+        period_start(F.col("t"), "year", "UTC")
