@@ -133,3 +133,25 @@ def recent(batches: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
     found = batches.orderBy(F.desc_nulls_last("created_at_ms"), F.desc("batch_id")).limit(most)
     counts = items.groupBy("batch_id").agg(F.count("*").alias("items"))
     return found.join(counts, "batch_id", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+
+
+def drafts_saved(drafts: DataFrame, saves: DataFrame, questions: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(drafts, outcomes) after autosaves: of several saves (draft_key, kind, target_id, base_version, payload, ordinal) of
+    a key the last counts.
+
+    drafts: (draft_key, kind, target_id, base_version, payload, created_at_ms, updated_at_ms), one for a key. A save
+    replaces the draft of its key, which keeps its time of creation, or makes a new one. outcomes (draft_key, outcome):
+    `other kind` if the key has a draft of another kind; `no target` if an edit names no question (id) that is there;
+    `extra target` if another kind names one; else `saved`. A stale base version is saved, as stale_drafts() tells it.
+    """
+    last = latest(saves, ["draft_key"], ["ordinal"], ["kind", "target_id", "base_version", "payload"])
+    old = drafts.select("draft_key", F.col("kind").alias("__kind"), F.col("created_at_ms").alias("__created"))
+    there = questions.select(F.col("id").alias("target_id"), F.lit(True).alias("__there")).distinct()
+    decided = last.join(old, "draft_key", "left").join(there, "target_id", "left")
+    edits = F.col("kind") == "question_edit"
+    outcome = F.when(F.col("__kind") != F.col("kind"), "other kind").when(edits & F.col("__there").isNull(), "no target").when(~edits & F.col("target_id").isNotNull(), "extra target").otherwise("saved")
+    decided = decided.withColumn("outcome", outcome)
+    stamp = F.lit(now_ms).cast("long")
+    new = decided.where("outcome = 'saved'").withColumns({"created_at_ms": F.coalesce("__created", stamp), "updated_at_ms": stamp})
+    kept = drafts.join(new.select("draft_key"), "draft_key", "left_anti").select(*drafts.columns)
+    return kept.unionByName(new.select(*(F.col(c).cast(drafts.schema[c].dataType) for c in drafts.columns))), decided.select("draft_key", "outcome")

@@ -277,3 +277,35 @@ def pages_read_with_faults(t):
     rows = part.where("p_partkey % 10 <> 3").select(page.alias("page"), F.col("p_partkey").alias("id")).crossJoin(F.broadcast(total))
     rows = rows.unionByName(rows.where("id % 10 = 4").withColumn("page", F.col("page") + 1)).select("page", (F.col("n") + F.col("page") % 2).alias("total"), "id")
     return bank.page_faults(rows)
+
+
+@query("""WITH s AS (SELECT user_id AS k, max(event_id) AS e FROM events GROUP BY 1), d AS (SELECT k, e, CASE WHEN k % 4 = 1 THEN 'other kind' WHEN k % 3 = 0 AND k % 5 = 0 THEN 'no target' ELSE 'saved' END AS outcome FROM s)
+    SELECT k AS id, outcome, CASE WHEN outcome = 'saved' THEN 'p' || e WHEN k % 2 = 1 THEN 'old' END AS payload, CAST(CASE WHEN k % 2 = 1 THEN 1 WHEN outcome = 'saved' THEN 9 END AS BIGINT) AS created, CAST(CASE WHEN outcome = 'saved' THEN 9 WHEN k % 2 = 1 THEN 1 END AS BIGINT) AS updated FROM d""")
+def drafts_autosaved(t):
+    """The last autosave of each key over the drafts there are: replaced, new, or refused."""
+    e = t("events")
+    key = F.col("user_id").cast("string")
+    edits = F.col("user_id") % 3 == 0
+    saves = e.select(
+        key.alias("draft_key"), F.when(edits, "question_edit").otherwise("question_create").alias("kind"), F.when(edits, F.when(F.col("user_id") % 5 != 0, F.col("user_id")).otherwise(-1)).alias("target_id"),
+        F.lit(1).cast("long").alias("base_version"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("payload"), F.col("event_id").alias("ordinal"),
+    )
+    users = e.select("user_id").distinct()
+    kind = F.when(F.col("user_id") % 4 == 1, "word_import_preview").when(edits, "question_edit").otherwise("question_create")
+    stamp = F.lit(1).cast("long")
+    there = users.where("user_id % 2 = 1").select(key.alias("draft_key"), kind.alias("kind"), F.lit(None).cast("long").alias("target_id"), stamp.alias("base_version"), F.lit("old").alias("payload"), stamp.alias("created_at_ms"), stamp.alias("updated_at_ms"))
+    after, outcomes = history.drafts_saved(there, saves, users.select(F.col("user_id").alias("id")), 9)
+    out = outcomes.join(after, "draft_key", "left")
+    return out.select(F.col("draft_key").cast("long").alias("id"), "outcome", "payload", F.col("created_at_ms").alias("created"), F.col("updated_at_ms").alias("updated"))
+
+
+@query("""SELECT left(sha256('copy/' || (l_orderkey || '-' || l_linenumber || '-' || l_partkey)), 32) AS id, 'copy' AS paper_id, l_partkey AS question_id, 'draft' AS status, CAST(7 AS BIGINT) AS created
+    FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))""")
+def paper_copied(t):
+    """A paper with its items under a new id, as a draft."""
+    lines, orders = t("lineitem"), t("orders")
+    first = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").agg(F.min("l_orderkey")).first()[0]
+    paper = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("saved").alias("paper_status"), F.lit(3).alias("row_version"), *(F.lit(1).cast("long").alias(c) for c in ("created_at_ms", "updated_at_ms", "saved_at_ms")))
+    items = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_orderkey").cast("string").alias("paper_id"), F.col("l_partkey").alias("question_id"))
+    papers, copies = bank.copied_paper(paper, items, str(first), "copy", 7)
+    return copies.join(papers.select(F.col("id").alias("paper_id"), F.col("paper_status").alias("status"), F.col("created_at_ms").alias("created")), "paper_id").select("id", "paper_id", "question_id", "status", "created")

@@ -165,3 +165,12 @@ def test_periods_where_summer_time_begins_and_ends(spark):
     ]
     with pytest.raises(ValueError):
         period_start(F.col("t"), "year", "UTC")
+
+
+def test_autosaved_drafts(spark):
+    shape = "draft_key string, kind string, target_id int, base_version long, payload string"
+    drafts = spark.createDataFrame([("a", "question_create", None, None, "old", 1, 2), ("b", "word_import_preview", None, None, "old", 1, 2), ("z", "question_edit", 9, 1, "other", 1, 2)], f"{shape}, created_at_ms long, updated_at_ms long")
+    saves = [("a", "question_create", None, None, "x", 1), ("a", "question_create", None, None, "y", 2), ("b", "question_create", None, None, "x", 1), ("c", "question_edit", 5, 3, "x", 1), ("d", "question_edit", 6, 1, "x", 1), ("e", "question_edit", None, 1, "x", 1), ("f", "question_create", 5, None, "x", 1)]
+    after, outcomes = history.drafts_saved(drafts, spark.createDataFrame(saves, f"{shape}, ordinal int"), spark.createDataFrame([(5,)], "id int"), 50)
+    assert dict(map(tuple, outcomes.collect())) == {"a": "saved", "b": "other kind", "c": "saved", "d": "no target", "e": "no target", "f": "extra target"}
+    assert _rows(after) == [("a", "question_create", None, None, "y", 1, 50), ("b", "word_import_preview", None, None, "old", 1, 2), ("c", "question_edit", 5, 3, "x", 50, 50), ("z", "question_edit", 9, 1, "other", 1, 2)]
