@@ -6,7 +6,8 @@
 files has (name string, content binary). Each task attempt writes into a folder of its own below a folder beside the
 target, and reports names, sizes and digests. The commit takes the files of the attempts that count, adds a manifest
 and renames the folder to the target, which must exist neither before the job nor then. What failed or repeated
-attempts have written goes with the folder, and so does all of it if the job is aborted. Stores are those of
+attempts have written goes with the folder, and so does all of it if the job is aborted; an attempt that still runs then
+finds no folder to write to. Stores are those of
 pyarrow.fs; a rename there has to be one step, as in local and Hadoop file systems.
 """
 
@@ -42,6 +43,12 @@ def _exists(store: fs.FileSystem, path: str) -> bool:
     return store.get_file_info(path).type != fs.FileType.NotFound
 
 
+def _discard(store: fs.FileSystem, path: str) -> None:
+    """Removes a folder that tasks may still write to: under another name, which none of them knows."""
+    store.move(path, f"{path}.gone")
+    store.delete_dir(f"{path}.gone")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What one task attempt has written: its folder, and (name, bytes, sha256) of each file."""
@@ -59,6 +66,7 @@ class FilesWriter(DataSourceArrowWriter):
         if _exists(store, target):
             raise FileExistsError(f"{folder} exists already")
         self.aside = f"{posixpath.dirname(target)}/.{posixpath.basename(target)}.{uuid.uuid4().hex}.part"
+        store.create_dir(self.aside, recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, _ = _place(self.folder)
@@ -68,7 +76,7 @@ class FilesWriter(DataSourceArrowWriter):
                 if not name or name[0] in "._" or "/" in name or name == MANIFEST:
                     raise ValueError(f"no name for a file: {name!r}")
                 if not files:
-                    store.create_dir(f"{self.aside}/{attempt}", recursive=True)
+                    store.create_dir(f"{self.aside}/{attempt}", recursive=False)  # fails once the job is aborted
                 content = content or b""
                 with store.open_output_stream(f"{self.aside}/{attempt}/{name}") as out:
                     out.write(content)
@@ -95,12 +103,12 @@ class FilesWriter(DataSourceArrowWriter):
         if _exists(store, target):
             raise FileExistsError(f"{self.folder} exists already")
         store.move(whole, target)
-        store.delete_dir(self.aside)
+        _discard(store, self.aside)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, _ = _place(self.folder)
         if _exists(store, self.aside):
-            store.delete_dir(self.aside)
+            _discard(store, self.aside)
 
 
 class CommittedFiles(DataSource):

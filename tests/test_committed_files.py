@@ -2,11 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillbank.operators import exports
-from quillbank.sources.committed_files import file_faults, file_list, save_files
+from quillbank.sources.committed_files import FilesWriter, file_faults, file_list, save_files
 from tests.test_exports import bank
 
 
@@ -43,6 +44,19 @@ def test_a_target_that_appears_meanwhile_is_kept(spark, tmp_path):
     assert os.listdir(tmp_path) == ["late"] and os.listdir(folder) == []
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    batch = pa.RecordBatch.from_pylist([{"name": "a.txt", "content": b"x"}])
+    aborted = FilesWriter(f"{tmp_path}/out", False)
+    aborted.write(iter([batch]))
+    aborted.abort([])
+    done = FilesWriter(f"{tmp_path}/out", False)
+    done.commit([done.write(iter([batch]))])
+    for writer in (aborted, done):
+        with pytest.raises(OSError):
+            writer.write(iter([batch]))
+    assert os.listdir(tmp_path) == ["out"] and sorted(os.listdir(f"{tmp_path}/out")) == ["a.txt", "manifest.json"]
+
+
 def test_damage_is_found(spark, tmp_path):
     folder = f"{tmp_path}/out"
     save_files(_files(spark, 4), folder)
