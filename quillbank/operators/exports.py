@@ -55,6 +55,21 @@ def export_rows(questions: DataFrame, order: list[Column]) -> DataFrame:
     return rows.select((F.col("__row") + 1).alias("row_number"), *texts)
 
 
+#: Fixed value: the order of a whole bank, over rows of with_sort_keys().
+EXPORT_ORDER = ("subject_sort", "subject_id", "chapter_sort", "chapter_id", "type_sort", "question_type", "created_at_ms", "question_id")
+
+
+def with_sort_keys(questions: DataFrame, subjects: DataFrame, chapters: DataFrame, types: DataFrame) -> DataFrame:
+    """questions (question_id, subject_id, chapter_id, question_type, created_at_ms, ...) with the columns of EXPORT_ORDER.
+
+    subjects (subject_id, sort_order), chapters (chapter_id, sort_order), types (code, sort_order). Questions whose
+    subject, chapter or type is not there are left out, as they have no place; a null sort order comes first.
+    """
+    placed = lambda df, key, to: df.select(F.col(key), F.col("sort_order").alias(f"{to}_sort"))
+    out = questions.join(placed(subjects, "subject_id", "subject"), "subject_id").join(placed(chapters, "chapter_id", "chapter"), "chapter_id")
+    return out.join(placed(types, "code", "type").withColumnRenamed("code", "question_type"), "question_type")
+
+
 MESSAGE_LIMIT = 2000
 
 

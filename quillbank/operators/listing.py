@@ -134,6 +134,17 @@ def hydrated(questions: DataFrame, options: DataFrame, bridge: DataFrame, tags:
     return out.withColumns({"options": F.coalesce("options", empty[0]), "tags": F.coalesce("tags", empty[1])})
 
 
+def with_tags_plain(questions: DataFrame, bridge: DataFrame, tags: DataFrame) -> DataFrame:
+    """questions with `tags_plain` made anew: the names of their tags by name, joined by spaces; blank without tags.
+
+    bridge (question_id, tag_id), tags (tag_id, name); repeated rows of the bridge count once, two tags of one name
+    twice, and tags without a name not at all.
+    """
+    named = bridge.select("question_id", "tag_id").distinct().join(tags.select("tag_id", "name"), "tag_id")
+    plain = named.groupBy(F.col("question_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("tags_plain"))
+    return questions.drop("tags_plain").join(plain, "id", "left").withColumn("tags_plain", F.coalesce("tags_plain", F.lit("")))
+
+
 def with_names(questions: DataFrame, subjects: DataFrame, chapters: DataFrame, units: DataFrame, types: DataFrame) -> DataFrame:
     """questions (subject_id, chapter_id, unit_id, question_type, ...) with the names of all four.
 

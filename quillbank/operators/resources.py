@@ -27,6 +27,14 @@ def reference_changes(recorded: DataFrame, actual: DataFrame, key: list[str]) ->
     return a.join(r, key, "left_anti").withColumn("change", F.lit("add")).unionByName(r.join(a, key, "left_anti").withColumn("change", F.lit("remove")))
 
 
+def resource_ids(references: DataFrame) -> DataFrame:
+    """(question_id, resource_id, uses): the resources of each question once, with how often it shows them.
+
+    references (question_id, resource_id); those without a question or resource are left out.
+    """
+    return references.where("question_id is not null and resource_id is not null").groupBy("question_id", "resource_id").agg(F.count("*").alias("uses"))
+
+
 def inconsistencies(references: DataFrame, resources: DataFrame) -> DataFrame:
     """(resource_id, problem): referenced but `missing`, there but not `ready`, or `unreferenced`."""
     used = references.select("resource_id").distinct().withColumn("__used", F.lit(True))

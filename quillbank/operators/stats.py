@@ -50,6 +50,17 @@ def unit_ranking(facts: DataFrame) -> DataFrame:
     return ranking(facts.select(unit.alias("unit")), ["unit"])
 
 
+def type_counts(facts: DataFrame, key: str) -> DataFrame:
+    """(key, types): for each key a map from question type to its number of facts, in order of the types.
+
+    Facts without a type are not counted, but their key has a row; counts are made before maps, which are as long as
+    there are types.
+    """
+    n = facts.groupBy(key, "question_type").agg(F.count("*").alias("n"))
+    entry = F.when(F.col("question_type").isNotNull(), F.struct("question_type", "n"))
+    return n.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("types"))
+
+
 def headline(facts: DataFrame, now, days: int) -> DataFrame:
     """One row: all, added and used in the last days, never used, and the share of those. Facts: created_at, last_used_at."""
     since = F.lit(now) - F.expr(f"INTERVAL {days} DAYS")
