@@ -13,7 +13,7 @@ from quillbank.functions import rich, wording
 from quillbank.functions import text as T
 from quillbank.functions.tables import shared_folder
 from quillbank.operators import bank, dedup, exports, history, imports, listing, papers, recognition, stats
-from quillbank.plans.bank_queries import query
+from quillbank.plans.bank_queries import _used_parts, query
 from quillbank.sources import archive, docx, docx_writer, xlsx, xlsx_writer
 
 _OPTION_LIST = "array<string>"
@@ -198,10 +198,19 @@ def content_signatures(t):
     )
 
 
-@query("""SELECT 996753600000 - CAST(180 AS BIGINT) * 86400000 AS semester, epoch_ms(TIMESTAMP '2001-08-01') AS month, epoch_ms(TIMESTAMP '2001-07-30') AS week, epoch_ms(TIMESTAMP '2001-08-02') AS day""")
+_WINDOWS = ("semester", "month", "week", "day")
+
+
+@query("""WITH w AS (SELECT unnest(['semester', 'month', 'week', 'day']) AS name, unnest([996753600000 - CAST(180 AS BIGINT) * 86400000, epoch_ms(TIMESTAMP '2001-08-01'), epoch_ms(TIMESTAMP '2001-07-30'), epoch_ms(TIMESTAMP '2001-08-02')]) AS starts_ms),
+    used AS (SELECT p_partkey AS id, max(o_orderdate) AS last FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+    SELECT name, starts_ms, (SELECT count(*) FILTER (epoch_ms(CAST(last AS TIMESTAMP)) >= starts_ms) FROM used) AS used_since, (SELECT count(*) FILTER (last IS NULL OR epoch_ms(CAST(last AS TIMESTAMP)) < starts_ms) FROM used) AS unused FROM w""")
 def usage_windows(t):
-    """Starts of the windows of use at noon of a Thursday, in the session's time zone (here UTC)."""
-    return t("region").limit(1).select(*(T.usage_cutoff_ms(w, 996753600000).alias(w) for w in ("semester", "month", "week", "day")))
+    """Starts of the windows of use at noon of a Thursday (here in UTC), and how many questions were used since then or not."""
+    starts = {w: T.usage_cutoff_ms(w, 996753600000) for w in _WINDOWS}
+    last = F.unix_millis(F.col("last_used_at").cast("timestamp"))
+    counts = _used_parts(t).agg(*(F.count_if(last >= starts[w]).alias(w) for w in _WINDOWS), F.count("*").alias("n"))
+    rows = F.array(*(F.struct(F.lit(w).alias("name"), starts[w].alias("starts_ms"), F.col(w).alias("used_since"), (F.col("n") - F.col(w)).alias("unused")) for w in _WINDOWS))
+    return counts.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def _binned(t):
