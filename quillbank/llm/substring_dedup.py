@@ -232,7 +232,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = Fa
 
     Each word covered by a window that also starts in a document with a smaller doc_id goes. Windows are judged on the
     input. The kept words are joined by one space. Null texts count as empty (no words, the digest of no bytes). A row
-    whose doc_id is null neither removes nor loses words. Rows that repeat a doc_id are one document as to "smaller",
+    whose doc_id is null neither removes nor loses words, and takes no part in the join. Rows that repeat a doc_id are one document as to "smaller",
     so copies under the same id do not remove each other.
     """
     marks, buckets = repeated_windows(docs, width)
@@ -240,7 +240,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = Fa
     rows = docs.drop(*(f.name for f in _NEW), "marks") if with_columns else docs.select("doc_id", "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType, True) for f in rows.schema.fields])
-    joined = rows.mapInArrow(_pack, packed).join(marks, "doc_id", "left")
+    known, unknown = (rows.where(F.col("doc_id").isNull() == x).mapInArrow(_pack, packed) for x in (False, True))
+    joined = known.join(marks, "doc_id", "left").unionByName(unknown.withColumn("marks", F.lit(None).cast("array<long>")))
     fields = [rows.schema[c] for c in joined.columns if c != "marks" and (with_columns or c != "text")]
     return joined.mapInArrow(_cut(width, buckets, with_columns), T.StructType([*fields, *_NEW[: 3 + with_columns]]))
 

@@ -344,6 +344,14 @@ def test_sets_of_one_id_are_told_apart():
     assert (again[2:] == ids[2:]).all() and again[0] == again[1] != ids[0] and (same == check).all()
 
 
+def test_rows_without_an_id_are_not_gathered(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.range(0, 400, 1, 4).select(F.when(F.col("id") < 2, F.col("id")).alias("doc_id"), F.lit(text).alias("text"))
+    got = substring_dedup(df).withColumn("part", F.spark_partition_id()).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got} == {(0, 30, 0), (1, 30, 30), (None, 30, 0)} and len(got) == 400
+    assert len({r["part"] for r in got if r["doc_id"] is None}) == 4
+
+
 def test_substring_dedup(docs, texts, empty):
     least = {}
     words = {i: WORD.findall(t or "") for i, t in texts.items()}
