@@ -194,9 +194,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(lo, hi - lo).set_column(whole.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
 
-def _cut(width: int, buckets: int, with_text: bool):
+def _cut(width: int, buckets: int, with_text: bool, packed: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _unpacked(batches):
+        plain = _unpacked(batches) if packed else (b for whole in batches for b in _text.sub_batches(whole, "text", _TEXT_LIMIT))
+        for batch in plain:
             data, bounds = _text.raw(batch.column("text"))
             starts, ends, first = _text.spans(data, bounds)
             flags = batch.column("marks")
@@ -240,10 +241,12 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_columns: bool = Fa
     rows = docs.drop(*(f.name for f in _NEW), "marks") if with_columns else docs.select("doc_id", "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType, True) for f in rows.schema.fields])
-    known, unknown = (rows.where(F.col("doc_id").isNull() == x).mapInArrow(_pack, packed) for x in (False, True))
-    joined = known.join(marks, "doc_id", "left").unionByName(unknown.withColumn("marks", F.lit(None).cast("array<long>")))
+    known, unknown = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    joined = known.mapInArrow(_pack, packed).join(marks, "doc_id", "left")
+    alone = unknown.withColumn("marks", F.lit(None).cast("array<long>")).select(*joined.columns)
     fields = [rows.schema[c] for c in joined.columns if c != "marks" and (with_columns or c != "text")]
-    return joined.mapInArrow(_cut(width, buckets, with_columns), T.StructType([*fields, *_NEW[: 3 + with_columns]]))
+    shape = T.StructType([*fields, *_NEW[: 3 + with_columns]])
+    return joined.mapInArrow(_cut(width, buckets, with_columns), shape).unionByName(alone.mapInArrow(_cut(width, buckets, with_columns, False), shape))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
