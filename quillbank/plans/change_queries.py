@@ -138,7 +138,7 @@ def merge_kinds(t):
     digit = F.substring(F.split("group_id", "/")[0], -1, 1).cast("int")
     keepers = members.groupBy("group_id").agg(F.max("id").alias("keeper_id")).withColumn("keeper_id", F.when(digit == 5, -1).otherwise(F.col("keeper_id")))
     asked = members.join(keepers, "group_id").select("group_id", "id", F.col("content_version").alias("expected_version"), "keeper_id", F.when(digit % 3 == 0, "exact").otherwise("suspected").alias("kind"))
-    out = dedup.merge_checked(v.drop("group_id"), asked, 5)
+    out = dedup.merge_checked(v.drop("group_id"), asked, 5, most_members=None)
     return out.select("id", "content_version", F.col("deleted_at_ms").isNotNull().alias("binned"))
 
 

@@ -1,6 +1,6 @@
 """Changes to the bank on small literal rows: empty tables, ties, rows that are not there."""
 
-from quillbank.operators import bank
+from quillbank.operators import bank, dedup
 
 QUESTION = "id string, tags array<string>, chapter_id string, last_used_at_ms long, content_version long, updated_at_ms long, deleted_at_ms long"
 EDIT = "id string, expected_version long, tags array<string>, chapter_id string"
@@ -32,3 +32,12 @@ def test_batch_edit_and_undo_keep_null_tags(spark):
     back = bank.undone(after, bank.undo_rows(before, only, "b1"), 11)
     assert tuple(back.where("id = 'a'").first()) == ("a", None, "c", 5, 3, 11, None)
     assert back.where("id <> 'a'").exceptAll(before.where("id <> 'a'")).count() == 0
+
+
+def test_groups_of_any_size_merge_where_no_limit_is_set(spark):
+    q = spark.range(1203).selectExpr("id", "array('t', concat('u', id % 3)) tags", "1L content_version", "cast(null as long) deleted_at_ms")
+    asked = q.where("id < 1201").selectExpr("if(id < 700, 'large', 'small') group_id", "id", "1L expected_version").where("id < 700 or id >= 1000")
+    binned = lambda df: df.where("deleted_at_ms = 9").count()
+    assert binned(dedup.merge_checked(q, asked, 9)) == 200
+    merged = dedup.merge_checked(q, asked, 9, most_members=None)
+    assert binned(merged) == 899 and merged.where("id = 0").first()["tags"] == ["t", "u0", "u1", "u2"]
