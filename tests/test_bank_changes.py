@@ -41,3 +41,10 @@ def test_groups_of_any_size_merge_where_no_limit_is_set(spark):
     assert binned(dedup.merge_checked(q, asked, 9)) == 200
     merged = dedup.merge_checked(q, asked, 9, most_members=None)
     assert binned(merged) == 899 and merged.where("id = 0").first()["tags"] == ["t", "u0", "u1", "u2"]
+
+
+def test_merges_of_any_size_are_undone(spark):
+    q = spark.range(700).selectExpr("id", "array('t', concat('u', id % 3)) tags", "1L content_version", "cast(null as long) deleted_at_ms")
+    asked = q.selectExpr("'large' group_id", "id", "1L expected_version")
+    back = dedup.merge_undone(dedup.merge_checked(q, asked, 9, most_members=None), dedup.merge_undo_rows(q, asked, None))
+    assert back.where("content_version = 3 and deleted_at_ms is null and size(tags) = 2").count() == 700
