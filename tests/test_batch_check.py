@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillbank.operators import dedup
 
@@ -99,3 +100,18 @@ def test_earlier_candidates_grow_with_n_log_n(spark):
         for n in (1000, 2000, 4000):
             items = spark.createDataFrame([(i, kind(i)) for i in range(n)], "ordinal long, length int")
             assert dedup.earlier_pairs(items, 16).count() <= 16 * n * (n - 1).bit_length()
+
+
+def test_candidates_are_found_once_a_length_and_exact_rows_once_a_text(spark):
+    bank = spark.range(200).selectExpr("id", "concat('t', id % 4) text", "cast(2 + id % 4 as int) length", "id updated", "cast(id % 4 as string) fingerprint")
+    lengths = spark.createDataFrame([(2,), (4,)], "length int")
+    for walk in (False, True):
+        near = dedup._length_candidates(lengths, bank, 60, walk).groupBy("length").count().collect()
+        assert {r["length"]: r["count"] for r in near} == {2: 61, 4: 61}
+    items = spark.range(90).selectExpr("id ordinal", "id % 2 * 197 question_id", "'1' fingerprint")
+    found = dedup._exact_rows(items, bank, [F.desc("updated"), F.asc("id")]).collect()
+    assert {r["ordinal"]: r["same"] for r in found} == {i: 193 if i % 2 else 197 for i in range(90)}
+    big = 2**60
+    probe = spark.createDataFrame([(1, "abcd", 4, big), (2, "abcd", 4, None)], "id long, text string, length int, question_id long")
+    known = spark.createDataFrame([(big, "abcd", 4, 1), (big + 1, "abce", 4, 1)], "id long, text string, length int, updated long")
+    assert {r["probe_id"]: r["candidate"] for r in dedup.best_match(probe, known).collect()} == {1: big + 1, 2: big}
