@@ -143,3 +143,65 @@ def json_remove(text: Column, path: Path) -> Column:
     if not path:
         raise ValueError("an empty path")
     return _let(text, lambda t: F.when(json_valid(t), _edited(t, list(path), None)).otherwise(t))
+
+
+def _members_after(members: Column, edits: list[tuple[Path, Column | None]]) -> Column:
+    """(key, raw) of an object's members after edits that begin with a name; what lies in one member is edited at once."""
+    if not edits:
+        return members
+    (step, *rest), value = edits[0]
+    n = next((i for i, (path, _) in enumerate(edits) if path[0] != step or len(path) == 1), len(edits)) if rest else 1
+    if rest:
+        inner = [(path[1:], x) for path, x in edits[:n]]
+        raw = lambda m: F.when(m["key"] == step, _edited_all(m["raw"], inner)).otherwise(m["raw"])
+        done = F.transform(members, lambda m: F.struct(m["key"].alias("key"), raw(m).alias("raw")))
+    elif value is None:
+        done = F.filter(members, lambda m: m["key"] != step)
+    else:
+        changed = F.transform(members, lambda m: F.struct(m["key"].alias("key"), F.when(m["key"] == step, value).otherwise(m["raw"]).alias("raw")))
+        added = F.concat(members, F.array(F.struct(F.lit(step).alias("key"), value.alias("raw"))))
+        done = F.when(value.isNull(), members).when(F.exists(members, lambda m: m["key"] == step), changed).otherwise(added)
+    return _let(done, lambda m: _members_after(m, edits[n:])) if edits[n:] else done
+
+
+def _elements_after(elements: Column, edits: list[tuple[Path, Column | None]]) -> Column:
+    """The JSON of an array's elements after edits that begin with a place."""
+    if not edits:
+        return elements
+    (step, *rest), value = edits[0]
+    if rest:
+        done = F.transform(elements, lambda x, i: F.when(i == step, _edited_all(x, [(rest, value)])).otherwise(x))
+    elif value is None:
+        done = F.filter(elements, lambda x, i: i != step)
+    else:
+        changed = F.transform(elements, lambda x, i: F.when(i == step, value).otherwise(x))
+        done = F.when(value.isNull(), elements).when(F.size(elements) == step, F.concat(elements, F.array(value))).otherwise(changed)
+    return _let(done, lambda e: _elements_after(e, edits[1:])) if edits[1:] else done
+
+
+def _edited_all(text: Column, edits: list[tuple[Path, Column | None]]) -> Column:
+    """text after edits in order, taken apart once; names do nothing to an array and places nothing to an object."""
+    named, placed = ([e for e in edits if isinstance(e[0][0], kind)] for kind in (str, int))
+
+    def made(t: Column) -> Column:
+        forms = []
+        if named:
+            forms.append(_object(_let(_members(t), lambda m: _members_after(m, named))))
+        if placed:
+            forms.append(F.concat(F.lit("["), F.array_join(_let(_elements(t), lambda e: _elements_after(e, placed)), ","), F.lit("]")))
+        return F.coalesce(*forms, t)
+
+    return _let(text, made)
+
+
+def json_edited(text: Column, edits: list[tuple[Path, Column | None]]) -> Column:
+    """text after several edits (path, JSON value, or None to remove what is there), as json_set() and json_remove() in order.
+
+    text is checked and taken apart once for all of them, each value is checked once; an edit whose value is not valid is
+    left out.
+    """
+    if not all(path for path, _ in edits):
+        raise ValueError("an empty path")
+    given = F.struct(text.alias("text"), *(F.when(json_valid(v), v).alias(f"v{i}") for i, (_, v) in enumerate(edits) if v is not None))
+    values = lambda b: [(list(path), None if v is None else b[f"v{i}"]) for i, (path, v) in enumerate(edits)]
+    return _let(given, lambda b: F.when(json_valid(b["text"]), _edited_all(b["text"], values(b))).otherwise(b["text"]))

@@ -148,10 +148,10 @@ def json_edits(t):
     props = F.col("props")
     k = F.get_json_object(props, "$.k").cast("long")
     by = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "n": [1], "value": true}'))
-    out = json_edit.json_set(json_edit.json_set(props, ["k"], (k + 1).cast("string")), ["by"], by)
-    out = json_edit.json_set(json_edit.json_set(out, ["by", "n", 1], F.lit('"x"')), ["by", "value"], F.lit("null"))
-    undone = json_edit.json_remove(json_edit.json_set(out, ["k"], k.cast("string")), ["by"])
-    return t("events").select(F.col("event_id").alias("id"), out.alias("edited"), undone.alias("undone"))
+    out = json_edit.json_edited(props, [(["k"], (k + 1).cast("string")), (["by"], by), (["by", "n", 1], F.lit('"x"')), (["by", "value"], F.lit("null"))])
+    undone = json_edit.json_edited(F.col("edited"), [(["k"], F.col("k").cast("string")), (["by"], None)])
+    # The edits are computed once, in a step of their own.
+    return t("events").select(F.col("event_id").alias("id"), k.alias("k"), out.alias("edited")).select("id", "edited", undone.alias("undone"))
 
 
 @query("""SELECT event_id AS id, event_id % 5 <> 1 AS valid, CASE event_id % 5 WHEN 0 THEN 'object' WHEN 2 THEN 'array' WHEN 3 THEN 'text' WHEN 4 THEN CASE WHEN value >= 20 THEN 'true' ELSE 'false' END END AS root,

@@ -174,3 +174,19 @@ def test_autosaved_drafts(spark):
     after, outcomes = history.drafts_saved(drafts, spark.createDataFrame(saves, f"{shape}, ordinal int"), spark.createDataFrame([(5,)], "id int"), 50)
     assert dict(map(tuple, outcomes.collect())) == {"a": "saved", "b": "other kind", "c": "saved", "d": "no target", "e": "no target", "f": "extra target"}
     assert _rows(after) == [("a", "question_create", None, None, "y", 1, 50), ("b", "word_import_preview", None, None, "old", 1, 2), ("c", "question_edit", 5, 3, "x", 50, 50), ("z", "question_edit", 9, 1, "other", 1, 2)]
+
+
+def test_several_json_edits_at_once_are_those_one_by_one(spark):
+    df = spark.createDataFrame([(x,) for x in TEXTS], "j string")
+    value, bad, j = F.lit('{"z":[1,{"y":2}]}'), F.lit("{"), F.col("j")
+    edits = [(["a"], value), (["a", "z", 1, "y"], F.lit("3")), (["a", "z", 2], F.lit('"n"')), (["o", "z"], bad), (["b"], None), (["o", "z", 0], None), ([1], value), ([1, "z", 0], None), ([0], None), (["a", "z", 0], bad)]
+    each = j
+    for path, v in edits:
+        each = json_edit.json_remove(each, path) if v is None else json_edit.json_set(each, path, v)
+    for r in df.select("j", json_edit.json_edited(j, edits).alias("at_once"), each.alias("each")).collect():
+        if r["j"] is None or r["each"] == r["j"]:
+            assert r["at_once"] in (r["each"], (r["each"] or "").strip()) or json.loads(r["at_once"]) == json.loads(r["each"])
+        else:
+            assert json.loads(r["at_once"]) == json.loads(r["each"]) and list(json.loads(r["at_once"])) == list(json.loads(r["each"])), r
+    with pytest.raises(ValueError):
+        json_edit.json_edited(j, [([], value)])
