@@ -179,14 +179,19 @@ def test_autosaved_drafts(spark):
 def test_several_json_edits_at_once_are_those_one_by_one(spark):
     df = spark.createDataFrame([(x,) for x in TEXTS], "j string")
     value, bad, j = F.lit('{"z":[1,{"y":2}]}'), F.lit("{"), F.col("j")
-    edits = [(["a"], value), (["a", "z", 1, "y"], F.lit("3")), (["a", "z", 2], F.lit('"n"')), (["o", "z"], bad), (["b"], None), (["o", "z", 0], None), ([1], value), ([1, "z", 0], None), ([0], None), (["a", "z", 0], bad)]
-    each = j
-    for path, v in edits:
-        each = json_edit.json_remove(each, path) if v is None else json_edit.json_set(each, path, v)
-    for r in df.select("j", json_edit.json_edited(j, edits).alias("at_once"), each.alias("each")).collect():
-        if r["j"] is None or r["each"] == r["j"]:
-            assert r["at_once"] in (r["each"], (r["each"] or "").strip()) or json.loads(r["at_once"]) == json.loads(r["each"])
-        else:
-            assert json.loads(r["at_once"]) == json.loads(r["each"]) and list(json.loads(r["at_once"])) == list(json.loads(r["each"])), r
+    several = [
+        [(["a"], value), (["a", "z", 1, "y"], F.lit("3")), (["a", "z", 2], F.lit('"n"')), (["b"], None)],
+        [(["o", "z"], bad), (["o", "z", 0], None), (["new"], value), (["a"], None)],
+        [([1], value), ([1, "z", 0], None), ([0], None), (["a", "z", 0], bad)],
+    ]
+    for edits in several:
+        each = df.withColumn("each", j)
+        for path, v in edits:
+            each = each.withColumn("each", json_edit.json_remove(F.col("each"), path) if v is None else json_edit.json_set(F.col("each"), path, v)).localCheckpoint()
+        for r in each.withColumn("at_once", json_edit.json_edited(j, edits)).collect():
+            if r["at_once"] == r["each"]:
+                continue
+            assert json.loads(r["at_once"]) == json.loads(r["each"]), r
+            assert repr(json.loads(r["at_once"])) == repr(json.loads(r["each"])), r  # members keep their order
     with pytest.raises(ValueError):
         json_edit.json_edited(j, [([], value)])
