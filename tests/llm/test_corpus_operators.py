@@ -332,6 +332,36 @@ def test_jaccard_groups_are_split_by_further_tokens(spark):
         assert got == want
 
 
+def test_jaccard_moves_few_bytes_of_sets_without_partner(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.integers(0, 1 << 40, 400).astype(str)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    written = lambda: sum(x.totalShuffleWrite() for x in _java_list(spark, spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    got = jaccard_classes(df, links=False).collect()
+    assert len(got) == 500 and all(r["component_id"] == r["doc_id"] for r in got)
+    assert written() - before < 5 * 500 * 396  # 7 bytes a shingle if all were moved
+
+
+def _java_list(spark, seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_jaccard_first_shingles_lose_no_partner_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in (1, 2, 3, 4, 5, 7, 8, 20, 100, 333, 400):
+        words = rng.integers(0, 1 << 40, 2 * n).astype(str)
+        cut = -(-3 * n // 4)
+        same = 2 * n * 75 // 175 + (2 * n * 75 % 175 > 0)  # the least overlap of two sets of n that link
+        rows += [words[:n], words[:cut], words[: max(1, cut - 1)] if n > 4 else words[:n], words[n - same : 2 * n - same], words[-1:]]
+    texts = {i: " ".join(x) for i, x in enumerate(rows)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    sets = [frozenset(x.tolist()) for x in rows]
+    linked = [sum(100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_classes(df, words=1).collect()} == dict(enumerate(linked))
+
+
 def test_sets_of_one_id_are_told_apart():
     import pyarrow as pa
 
