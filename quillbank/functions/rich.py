@@ -11,7 +11,7 @@ import json
 import unicodedata
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
@@ -51,8 +51,13 @@ PARSED = StructType(
 )
 
 
+_NO_SPACES = dict.fromkeys(map(ord, " \t\n\v\f\r"))
+
+
 def squeezed(text: str) -> str:
     """Normalised, lower case, without white space and invisible marks."""
+    if text.isascii():
+        return text.lower().translate(_NO_SPACES)
     return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if not c.isspace() and c not in "\u200b\ufeff" or c in "\x1c\x1d\x1e\x1f")
 
 
@@ -260,9 +265,29 @@ def parts(html: str | None, document: str | None, plain: str | None) -> tuple[di
     return document_tokens({"type": "paragraph", "content": [{"type": "text", "text": plain or ""}]}).row(), None
 
 
-@F.pandas_udf(StructType([StructField("main", PARSED), StructField("other", PARSED)]))
-def _parts(html: pd.Series, document: pd.Series, plain: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parts(*x) for x in zip(html, document, plain)], columns=["main", "other"], dtype=object)
+_ARROW_PARSED = pa.struct(
+    [
+        ("tokens", pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))),
+        ("text", pa.string()),
+        ("meaningful", pa.bool_()),
+        ("unverified", pa.bool_()),
+        ("image_ids", pa.list_(pa.string())),
+    ]
+)
+
+
+def _parts_of(html: pa.Array, document: pa.Array, plain: pa.Array) -> pa.Array:
+    """Equal content of a batch is parsed once."""
+    place, at = {}, []
+    for x in zip(html.to_pylist(), document.to_pylist(), plain.to_pylist(), strict=True):
+        at.append(place.setdefault(x, len(place)))
+    rows = [dict(zip(("main", "other"), parts(*x), strict=True)) for x in place]
+    return pa.array(rows, pa.struct([("main", _ARROW_PARSED), ("other", _ARROW_PARSED)])).take(pa.array(at, pa.int32()))
+
+
+@F.arrow_udf(StructType([StructField("main", PARSED), StructField("other", PARSED)]))
+def _parts(html: pa.Array, document: pa.Array, plain: pa.Array) -> pa.Array:
+    return _parts_of(html, document, plain)
 
 
 def rich_parts(html: Column, document: Column, plain: Column) -> Column:

@@ -2,10 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillbank.functions import rich, wording
+from quillbank.plans.registry import QUERIES
 
 
 def kinds(html):
@@ -114,3 +116,23 @@ def test_formula_tokens(spark):
     assert text == "a\ue000k1\ue001b\ue000k2\ue001"
     df = spark.createDataFrame([(text,), (None,), ("",), ("x\ufffc",)], "t string")
     assert [r[0] for r in df.select(wording.formula_text(F.col("t"), F.create_map(F.lit("k1"), F.lit("x^2")))).collect()] == ["a\\(x^2\\)b[公式]", None, "", "x[公式]"]
+
+
+def test_equal_content_is_parsed_once(monkeypatch):
+    calls, real = [], rich.parts
+    monkeypatch.setattr(rich, "parts", lambda *x: calls.append(x) or real(*x))
+    got = rich._parts_of(pa.array(["<p>a</p>", None, "<p>a</p>", "<p>b</p>"]), pa.array([None, "{}", None, None], pa.string()), pa.array([None, None, None, "x"]))
+    assert len(calls) == 3 and [x["main"]["text"] for x in got.to_pylist()] == ["a", "", "a", "b"]
+
+
+def test_ascii_is_squeezed_as_other_text():
+    text = "".join(map(chr, range(128)))
+    assert rich.squeezed(text + "é") == rich.squeezed(text) + "é"
+
+
+def test_rich_identity_parses_once(spark, tmp_path):
+    rows = [(i, f"name {i // 2}", "Brand#1", "T") for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["rich_identity"](spark, str(tmp_path))
+    assert "EvalPython" not in out._jdf.queryExecution().toString()  # once, in the checkpoint
+    assert {r["id"]: r["least"] for r in out.collect()} == {i: i - i % 2 for i in range(40)}
