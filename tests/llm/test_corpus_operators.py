@@ -362,6 +362,53 @@ def test_jaccard_first_shingles_lose_no_partner_at_the_threshold(spark):
     assert {r["doc_id"]: r["n_links"] for r in jaccard_classes(df, words=1).collect()} == dict(enumerate(linked))
 
 
+def test_near_copies_are_not_reported_by_every_hash_range(spark, monkeypatch):
+    """The rows that hash ranges report do not follow their number where most sets that share anything are near copies."""
+    from quillbank.llm import ngram_jaccard
+
+    rng = np.random.default_rng(13)
+    texts = []
+    for i in range(100):
+        words = rng.integers(0, 1 << 40, 400).astype(str)
+        texts += [" ".join(words), " ".join([*words[:390], *(f"n{i}x{k}" for k in range(10))]), " ".join([*words[:360], *(f"m{i}x{k}" for k in range(40))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    reported, plain = spark.sparkContext.accumulator(0), ngram_jaccard._count_first
+
+    def counting(*args):
+        inner = plain(*args)
+
+        def run(batches):
+            for batch in inner(batches):
+                reported.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(ngram_jaccard, "_count_first", counting)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(df, links=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {i - i % 3 for i in got} == set(got.values()) and all(got[i] == i - i % 3 for i in got)
+    assert reported.value < 10 * len(texts), reported.value  # nearly 32 a text if each range reported all that share a shingle
+
+
+def test_only_shingles_of_sets_of_like_size_count():
+    from quillbank.llm import ngram_jaccard as nj
+
+    sizes = np.array([75, 100, 101, 300])
+    pack = lambda i: (np.arange(5, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), np.int64(i).tobytes(), np.uint32(5).tobytes(), nj.size_class(sizes[i : i + 1]).tobytes())
+    for some, want in (((0, 1), {0, 1}), ((0, 3), set()), ((0, 1, 3), {0, 1}), ((2, 3), set()), ((3, 3), set())):
+        owners = nj._held_by_like([pack(i) for i in some], nj.classes_apart(75))
+        assert set(owners.tolist()) == want and len(owners) == 5 * len(want)
+    n = np.arange(1, 100_000)
+    for percent in (1, 50, 75, 90, 100):
+        least = -(-percent * n // 100)
+        assert (nj.size_class(n).astype(int) - nj.size_class(least) <= nj.classes_apart(percent)).all()
+
+
 def test_sets_of_one_id_are_told_apart():
     import pyarrow as pa
 
