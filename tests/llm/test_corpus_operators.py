@@ -6,9 +6,10 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,80 @@ def test_only_shingles_of_sets_of_like_size_count():
         assert (nj.size_class(n).astype(int) - nj.size_class(least) <= nj.classes_apart(percent)).all()
 
 
+def test_ranges_follow_the_volume_and_not_the_partitions(monkeypatch):
+    """A set's id goes to at most RANGES ranges; a large range is counted in pieces, with the same tokens."""
+    from quillbank.llm import ngram_jaccard as nj
+
+    assert [nj.ranges(n, 10**6) for n in (1, 12, 600, 20_000)] == [1, 12, nj.RANGES, nj.RANGES] and nj.ranges(12, 1000 * nj.RANGE) == 1000
+    rng = random.Random(3)
+    texts = [" ".join(f"w{k}" for k in range(10 * i, 10 * i + rng.randint(20, 90))) for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    none = np.zeros(0, np.int64)
+    packed, first = (list(nj._pack(nj.WORDS, 2, none, percent)(iter([batch]))) for percent in (0, 75))
+    packed, first = ([pa.Table.from_batches(x).sort_by("bucket").to_batches()[0]] for x in (packed, first))
+    found = []
+    for piece in (1 << 20, 500):
+        monkeypatch.setattr(nj, "PIECE", piece)
+        tokens = Counter()
+        for x in nj._count(iter(packed)):
+            for r in x.to_pylist():
+                tokens[r["set_id"], r["key"], r["check"], r["sets"]] += r["weight"]
+        counted = sorted(tuple(r.values()) for x in nj._count_first(np.zeros(1 << 12, np.uint8), 75)(iter(first)) for r in x.to_pylist())
+        found.append((tokens, counted))
+    assert found[0] == found[1] and len(found[0][0]) > 200 and len(found[0][1]) > 200
+
+
+def test_rows_of_one_set_are_moved_once(spark):
+    """Repeated texts are hashed and moved by one of their rows, whatever their doc_ids and partitions."""
+    rng = np.random.default_rng(21)
+    words = [rng.integers(0, 1 << 40, 400).astype(str) for _ in range(200)]
+    texts = [" ".join([*x[: 400 - 20 * k], *(f"n{i}x{j}" for j in range(20 * k))]) for i, x in enumerate(words) for k in (0, 1)]
+    written = lambda: sum(x.totalShuffleWrite() for x in _java_list(spark, spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    moved = []
+    for times in (1, 8):
+        rows = [(None if i % 50 == 0 and k else i + 400 * k, t) for k in range(times) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(8).localCheckpoint()
+        before = written()
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard_classes(df, links=False).collect()}
+        moved.append(written() - before)
+        assert got == {(i, None if i is None else i % 400 // 2 * 2) if i is not None else (None, 0) for i, _ in rows if i is not None} | ({(None, i // 2 * 2) for i in range(0, 400, 50)} if times > 1 else set())
+    assert moved[1] < 2 * moved[0], moved
+
+
+def test_sets_that_the_bitmap_has_by_chance_go_on(spark, monkeypatch):
+    """Pairs of texts that are only found by counting are found too where the bitmap holds many others."""
+    from quillbank.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "FILTER_BITS", 15)
+    texts = []
+    for i in range(1500):
+        words = [f"a{i}x{k}" for k in range(60)]
+        texts += [" ".join(words), " ".join([*words[:59], f"b{i}"])]
+    for i in range(400):
+        words = [f"c{i}x{k}" for k in range(60)]
+        texts += [" ".join(words), " ".join([*words[:53], *(f"d{i}x{k}" for k in range(7))])]  # 49 of 63 shingles
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(df, links=False).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_large_components_are_counted_in_few_blocks(spark, monkeypatch):
+    from quillbank.llm import ngram_jaccard
+
+    dealt, plain = [], ngram_jaccard.counting_groups
+
+    def counting(*args):
+        out = plain(*args)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "counting_groups", counting)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join([*words, f"n{i}"])) for i in range(400)]
+    got = {(r["component_id"], r["n_links"]) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert got == {(0, 399)} and dealt[0] <= ngram_jaccard.BLOCKS * 400, dealt  # 25 blocks of 16 would be 10,000 rows
+
+
 def test_sets_of_one_id_are_told_apart():
     import pyarrow as pa
 
