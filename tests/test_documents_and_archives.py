@@ -1,6 +1,8 @@
 """Word documents, formulas, archives and resources."""
 
 import hashlib
+import io
+import tracemalloc
 import zipfile
 from xml.etree import ElementTree
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillbank.functions.omml import latex
 from quillbank.operators import resources as S
-from quillbank.operators.recognition import lines_with_formulas, recognised_questions
+from quillbank.operators.recognition import lines_of_paragraphs, lines_with_formulas, recognised_questions
 from quillbank.sources import archive, docx, docx_writer
 
 SPACES = (
@@ -92,6 +94,32 @@ def test_documents(spark, tmp_path):
     lines = lines_with_formulas(*(docx.document_parts(found, x) for x in ("paragraphs", "images", "formulas")))
     got = recognised_questions(lines).collect()
     assert len(got) == 1 and got[0]["stem"] == "求 \ue000f0\ue0012\n___\n" and got[0]["answer"] == "x" and got[0]["attachments"] == ["r1", "table:0"]
+    shown = lambda df: sorted((x["doc_id"], x["paragraph_index"], x["text"], [tuple(a) for a in x["attachments"]]) for x in df.collect())
+    assert shown(lines_of_paragraphs(docx.paragraphs_with_parts(spark.read.format("binaryFile").load(f"{tmp_path}/*.docx")))) == shown(lines)
+
+
+def test_long_documents_are_written_and_read_piece_by_piece():
+    """Neither the markup nor the tree of a long document is held whole."""
+    tracemalloc.start()
+    made = docx_writer._Package()
+    for i in range(60_000):
+        made.add(f"{i}. line of a document")
+    data = made.done()
+    written = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = docx._paragraph_batches("d", data)
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        size = z.getinfo("word/document.xml").file_size
+    assert [x for b in found for x in b.column("text").to_pylist()] == [f"{i}. line of a document" for i in range(60_000)]
+    assert [x for b in found for x in b.column("paragraph_index").to_pylist()] == list(range(60_000))
+    assert written < size and read < 4 * size, (written, read, size)
+    broken = docx_writer._Package()
+    for i in range(10_000):
+        broken.add("x")
+    broken.held.append("<w:p>")
+    assert docx._paragraph_batches("d", broken.done()) == []
 
 
 def test_documents_round_trip(spark, tmp_path):
